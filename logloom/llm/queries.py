@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .license_scan import scan_licenses, scan_sql
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +30,5 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_exact_dedup": op3_exact_dedup}
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL}
