@@ -37,3 +37,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's vocabulary file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

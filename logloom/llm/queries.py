@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, written
+from .common import table, tokenizer, written
 from .exact_dedup import exact_groups
 from .license_scan import scan_licenses, scan_sql
 from .media import describe_media, encode_media
+from .packing import pack_documents
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(written(encode_media(table(spark, sf_dir, "documents")), "media"))
 
@@ -35,5 +40,5 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op9_media_audio": op9_media_audio}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op9_media_audio": op9_media_audio}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL}
