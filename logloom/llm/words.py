@@ -16,6 +16,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 21
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -65,8 +67,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def word_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Words `[^\\x20\\x09-\\x0D]+` of every text after lower-casing A-Z."""
+def word_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, blank: np.ndarray = SPACE) -> Iterator[Words]:
+    """Words of every text after lower-casing A-Z: by default `[^\\x20\\x09-\\x0D]+`, else runs of bytes that `blank` hasn't."""
     data, at = utf8(column)
     first = 0
     while first < len(column):
@@ -75,7 +77,7 @@ def word_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Wo
         part = LOWER[data[base : at[last]]]
         edges = at[first : last + 1] - base
         n = len(part)
-        space = SPACE[part]
+        space = blank[part]
         cut = np.zeros(n + 1, bool)
         cut[edges] = True
         before, after = np.ones(n, bool), np.ones(n, bool)
