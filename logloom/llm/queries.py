@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import archive_pages
 from .class_lm import score_corpus
 from .common import table, tokenizer, written
 from .exact_dedup import exact_groups
@@ -35,6 +36,10 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(written(encode_media(table(spark, sf_dir, "documents")), "media"))
 
@@ -50,5 +55,13 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op9_media_audio": op9_media_audio}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL}
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_page FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page <> page_id THEN first_page END AS refers_to FROM f
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op9_media_audio": op9_media_audio}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL}
