@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .license_scan import scan_licenses, scan_sql
 from .media import describe_media, encode_media
 from .packing import pack_documents
+from .segmentations import sample_segmentations
 from .toxicity import toxicity
 from .url_filter import filter_sql, filter_urls
 
@@ -41,6 +42,10 @@ def op7_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(written(encode_media(table(spark, sf_dir, "documents")), "media"))
 
@@ -68,5 +73,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first_page <> page_id THEN first_page END AS refers_to FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL, "op10_url_filter": filter_sql()}
