@@ -10,9 +10,12 @@ its length, from counts by length and chunk, and looks its rank up in the plan.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -25,10 +28,10 @@ from .common import written
 
 CAPACITY = 4096
 END_ID = 1
-#: Tokenised white-space-free strings that a worker remembers before it starts anew.
-MOST_REMEMBERED = 400_000
-#: Rows of one length that are ranked in one group.
-RANKED_ROWS = 200_000
+#: Tokenised strings, and parts of strings, that a worker remembers before it starts anew.
+MOST_REMEMBERED = 800_000
+#: About so many rows of one length are ranked in one group.
+RANKED_ROWS = 2000
 SLICE_CHARS = 1 << 21
 
 
@@ -37,7 +40,13 @@ SLICE_CHARS = 1 << 21
 
 class Encoder:
     """Ids of whole texts.  The tokenizer drops white space and never joins across it, so each string between
-    blanks is tokenised once and remembered; a text that may hold a special token's name is tokenised whole."""
+    blanks is tokenised once and remembered.  Strings that differ in their punctuation or, in ASCII, in their case
+    share their parts, which the tokenizer would also split.  A text that may hold a special token's name is
+    tokenised whole."""
+
+    #: Fixed pattern: how the tokenizer splits lower-case ASCII.
+    ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    MARKS = ".,!?:;|*%$#&"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,21 +54,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.strings: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _split(self, string: str) -> list[str]:
+        if string.isascii():
+            return self.ASCII_PARTS.findall(string.lower())
+        core = string.rstrip(self.MARKS)
+        return [core, string[len(core) :]] if core and core[-1].isalpha() else [string]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        parts = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        if len(self.known) > MOST_REMEMBERED:
-            self.known.clear()
-        new = [p for p in set().union(*parts) if p not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        strings = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
+        # The strings met first have all the frequent ones.
+        if len(self.strings) > MOST_REMEMBERED:
+            self.strings = dict(islice(self.strings.items(), MOST_REMEMBERED // 2))
+        if len(self.parts) > MOST_REMEMBERED:
+            self.parts = dict(islice(self.parts.items(), MOST_REMEMBERED // 2))
+        new = {s: self._split(s) for s in set().union(*strings).difference(self.strings)}
+        parts = list(set().union(*new.values()).difference(self.parts))
+        self.parts.update(zip(parts, self._encode(parts), strict=True))
+        part = self.parts.__getitem__
+        self.strings.update((s, b"".join(map(part, p))) for s, p in new.items())
+        string = self.strings.__getitem__
+        out = [b"".join(map(string, s)) for s in strings]
         for i in whole:
             out[i] = self._encode([texts[i]])[0]
         return out
@@ -271,8 +293,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = packing_plan(histogram, capacity)
-    chunks = -(-max(histogram.values(), default=1) // RANKED_ROWS)
-    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)))
+    # At most `capacity` rows, whatever the number of pieces.
+    chunks = spark.createDataFrame([(k, -(-n // RANKED_ROWS)) for k, n in histogram.items()], "length long, _chunks long")
+    dealt = pieces.join(F.broadcast(chunks), "length").withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.col("_chunks")))
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "_chunk").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy(*keys)) - 1)

@@ -12,6 +12,7 @@ from .common import table, tokenizer, written
 from .exact_dedup import exact_groups
 from .license_scan import scan_licenses, scan_sql
 from .media import describe_media, encode_media
+from .ngram_join import similar_texts
 from .packing import pack_documents
 from .segmentations import sample_segmentations
 from .toxicity import toxicity
@@ -22,6 +23,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -73,5 +78,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first_page <> page_id THEN first_page END AS refers_to FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL, "op10_url_filter": filter_sql()}
