@@ -60,8 +60,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that `exact_groups` keeps, each once, with all their columns."""
-    keep = exact_groups(df, id_col, text_col).where("kept").select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_digest")).distinct()
-    rows = df.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(f"_row.{id_col}").eqNullSafe(F.col("_keep")) & (F.col("_row._digest") == F.col("k._digest"))
-    kept = rows.select(F.struct("*").alias("_row")).join(keep.alias("k"), same, "left_semi").select("_row.*")
-    return kept.dropDuplicates([id_col, "_digest"]).select(*df.columns)
+    # The id's hash stands for the id, null or not, so that the join and the removal of repeated rows share a shuffle.
+    keep = exact_groups(df, id_col, text_col).where("kept").select(F.col("keep_id").alias("_keep"), F.xxhash64("keep_id").alias("_key"), F.col("text_sha256").alias("_digest"))
+    keep = keep.distinct().alias("k")
+    rows = df.select(F.struct("*").alias("_row"), F.xxhash64(id_col).alias("_key"), F.sha2(normalised(F.col(text_col)), 256).alias("_digest"), F.col(id_col).alias("_id")).alias("r")
+    same = (F.col("r._key") == F.col("k._key")) & (F.col("r._digest") == F.col("k._digest")) & F.col("r._id").eqNullSafe(F.col("k._keep"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["_key", "_digest", "_id"]).select("_row.*")

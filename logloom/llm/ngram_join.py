@@ -330,3 +330,11 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         light.join(by_class, ["d1", "d2", "n"], "left")
         .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"), F.when(F.col("doc").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
     )
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: int = SIMILARITY) -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns; rows without an id stay."""
+    found = similar_texts(df, id_col, text_col, size, similarity)
+    keep = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
+    kept = df.join(keep, id_col, "left_semi").withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).select(*df.columns)
+    return kept.unionByName(df.where(F.col(id_col).isNull()))

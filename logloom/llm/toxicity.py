@@ -173,3 +173,19 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per row of `df`: id, held_out, score, predicted; learnt only from rows that are not held out."""
     model = train(df, labels.where(~held_out(id_col)), id_col, text_col)
     return score(df, model, id_col, text_col).select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `df` that score under `threshold`, with all their columns; nothing is shuffled for it."""
+    model = train(df, labels.where(~held_out(id_col)), id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for words in word_chunks(b.column(at), blank=NOT_ALNUM):
+                text, terms = chosen_terms(shared.value.buckets, *hashed_terms(words))
+                n = words.last - words.first
+                yield b.slice(words.first, n).filter(pa.array(shared.value.scores(text, terms, n) < threshold))
+
+    return df.mapInArrow(run, df.schema)
