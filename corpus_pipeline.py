@@ -6,18 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm.common import table, written
+from logloom.llm.common import table, tokenizer, written
 from logloom.llm.exact_dedup import drop_copies
+from logloom.llm.ngram_join import drop_similar
+from logloom.llm.packing import pack_documents
+from logloom.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row that stays."""
+    """Of equal texts, the document that stays."""
     return drop_copies(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", exact_dedup)]
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    return drop_similar(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    return pack_documents(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("n-gram Jaccard join", ngram_join), ("best-fit packing", packing)]
 
 #: The toxicity model, the n-gram join and packing can't be told in SQL; tests hold them against brute force.
 ORACLE_SQL = None
