@@ -336,5 +336,6 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each component, that with the smallest id, with all its columns; rows without an id stay."""
     found = similar_texts(df, id_col, text_col, size, similarity)
     keep = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    kept = df.join(keep, id_col, "left_semi").withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).select(*df.columns)
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"))
+    kept = rows.join(keep.withColumnRenamed(id_col, "_id"), "_id", "left_semi").dropDuplicates(["_id", "_text"])
+    return kept.unionByName(rows.where("_id is null")).select("_row.*")
