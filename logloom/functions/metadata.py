@@ -42,11 +42,15 @@ def request_id(line: Column) -> Column:
     return filled(F.regexp_extract(line, REQUEST_ID, 1))
 
 
-def line_metadata(line: Column, more: list[Column]) -> Column:
-    """Pairs, first address, link and request id of a line, then `more`; later ones override, and an empty map is null."""
+def line_entries(line: Column, more: list[Column]) -> Column:
+    """Pairs, first address, link and request id of a line, then `more`, as (key, value)s; later ones override."""
     kv = F.when(line.contains("="), pairs(line)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    found = F.concat(kv, entry("ip_address", address(line)), entry("url", link(line)), entry("request_id", request_id(line)), *more)
-    return F.when(F.size(found) > 0, last_wins(found))
+    return F.concat(kv, entry("ip_address", address(line)), entry("url", F.when(line.contains("://"), link(line))), entry("request_id", request_id(line)), *more)
+
+
+def as_metadata(entries: Column) -> Column:
+    """The map of a column of entries, null if there are none.  Give it a column of its own: it looks at it often."""
+    return F.when(F.size(entries) > 0, last_wins(entries))
 
 
 def typed(metadata: Column, key: str, kind: str) -> Column:

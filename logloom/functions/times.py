@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import trim
-
 DATE_TIME = r"^(\d{4}-\d{2}-\d{2})[T\s](\d{2}:\d{2}:\d{2})(?:[.,](\d{1,9}))?\s*(?:Z|[+-]\d{2}:?\d{2})?$"
 #: Further patterns, in the order in which they are tried.
 TEXT_PATTERNS = ((r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$", "yyyy/MM/dd HH:mm:ss"), (r"^\w{3} \d{2}, \d{4} \d{2}:\d{2}:\d{2}$", "MMM dd, yyyy HH:mm:ss"))
@@ -23,8 +21,8 @@ def _ntz(c: Column) -> Column:
 
 def date_time(s: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss` and the ISO forms, with up to nine digits of fraction and an offset that is dropped."""
-    parts = [F.regexp_extract(s, DATE_TIME, k) for k in (1, 2, 3)]
-    return F.when(s.rlike(DATE_TIME), _ntz(F.concat(parts[0], F.lit(" "), parts[1], F.lit("."), F.rpad(F.substring(parts[2], 1, 6), 6, "0"))))
+    plain = F.rtrim(F.regexp_replace(s, DATE_TIME, "$1 $2.$3"), F.lit("."))
+    return F.when(s.rlike(DATE_TIME), _ntz(plain))
 
 
 def by_patterns(s: Column, patterns: tuple[tuple[str, str], ...]) -> list[Column]:
@@ -66,15 +64,15 @@ def _user(s: Column, pattern: str | None) -> list[Column]:
 
 
 def text_time(s: Column, pattern: str | None, year: int) -> Column:
-    s = trim(s)
+    """The time that a trimmed text tells, by a grammar's field."""
     return millis(F.coalesce(*_user(s, pattern), date_time(s), *by_patterns(s, TEXT_PATTERNS), access_log_time(s), syslog_time(s, year)))
 
 
 def json_time(s: Column, pattern: str | None, year: int) -> Column:
-    s = trim(s)
+    """The time that a trimmed JSON value tells."""
     return millis(F.coalesce(*_user(s, pattern), date_time(s), epoch(s), *by_patterns(s, TEXT_PATTERNS), access_log_time(s)))
 
 
 def csv_time(s: Column, pattern: str | None, year: int) -> Column:
-    s = trim(s)
+    """The time that a trimmed cell tells."""
     return millis(F.coalesce(*_user(s, pattern), epoch(s), date_time(s), *by_patterns(s, CSV_PATTERNS)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import normal_csv_level
-from ..functions.metadata import last_wins
+from ..functions.metadata import as_metadata
 from ..functions.texts import filled, trim
 from ..functions.times import checked_pattern, csv_time
 from ..options import ParseOptions
@@ -102,10 +102,11 @@ def parse_csv(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     spare = [F.when(filled(cell(i)).isNotNull(), F.struct(F.lit(n).alias("key"), cell(i).alias("value"))) for i, n in enumerate(names) if i not in fields.values()]
     entries = F.filter(F.array(*spare), lambda e: e.isNotNull()) if spare else F.array().cast("array<struct<key:string,value:string>>")
     stack = value("stack_trace")
+    rows = rows.where("parse_status = 'SUCCESS'").withColumns({"_time": value("timestamp"), "_entries": entries})
     return finish(
-        rows.where("parse_status = 'SUCCESS'").withColumns(
+        rows.withColumns(
             {
-                "_stamp": csv_time(value("timestamp"), checked_pattern(lines.sparkSession, opts.timestamp_format), opts.year),
+                "_stamp": csv_time(F.col("_time"), checked_pattern(lines.sparkSession, opts.timestamp_format), opts.year),
                 "level": level,
                 "message": F.coalesce(value("message"), joined),
                 "logger": value("logger"),
@@ -116,7 +117,7 @@ def parse_csv(lines: DataFrame, opts: ParseOptions) -> DataFrame:
                 "stack_trace": stack,
                 "has_stack_trace": F.when(stack.isNotNull(), F.lit(True)),
                 "has_error": level == "ERROR",
-                "metadata": F.when(F.size(entries) > 0, last_wins(entries)),
+                "metadata": as_metadata(F.col("_entries")),
             }
         ),
         opts,

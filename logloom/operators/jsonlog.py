@@ -55,10 +55,11 @@ def parse_json(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     tags = F.from_json(F.try_element_at("_map", F.lit("tags")), "array<string>")
     metadata = F.when(tags.isNull() & F.try_element_at("_map", F.lit("tags")).isNotNull(), F.map_concat(spare, F.create_map(F.lit("tags"), F.try_element_at("_map", F.lit("tags"))))).otherwise(spare)
     has_error = F.coalesce(F.when(level.isNotNull(), level == "ERROR"), F.when(stack.isNotNull(), F.lit(True)))
+    rows = rows.withColumn("_time", trim(field("timestamp")))
     return finish(
         rows.withColumns(
             {
-                "_stamp": json_time(field("timestamp"), checked_pattern(lines.sparkSession, opts.timestamp_format), opts.year),
+                "_stamp": json_time(F.col("_time"), checked_pattern(lines.sparkSession, opts.timestamp_format), opts.year),
                 "level": level,
                 "message": field("message"),
                 "logger": logger,

@@ -33,10 +33,13 @@ def assign_heads(lines: DataFrame) -> DataFrame:
 
 
 def attach_traces(lines: DataFrame) -> DataFrame:
-    """The head lines of `assign_heads`, with stack_trace; blank lines are dropped.  Only continuation lines are grouped."""
-    goes_on = F.col("head_line") != F.col("line_number")
-    trace = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n")
-    more = lines.where(goes_on).groupBy("file_name", F.col("head_line").alias("line_number")).agg(trace.alias("_more"))
-    heads = lines.where(~goes_on & (F.col("class") != "B")).join(more, ["file_name", "line_number"], "left")
+    """The head lines of `assign_heads`, with stack_trace; blank lines are dropped.  One grouping by head brings an
+    entry's lines together, so the lines are parsed and shuffled once for it."""
+    names = [c for c in lines.columns if c not in ("file_name", "head_line")]
+    is_head = F.col("head_line") == F.col("line_number")
+    head = F.first(F.when(is_head, F.struct(*names)), ignorenulls=True)
+    more = F.collect_list(F.when(~is_head, F.struct("line_number", "line")))
+    grouped = lines.where(F.col("class") != "B").groupBy("file_name", "head_line").agg(head.alias("_head"), more.alias("_more"))
+    heads = grouped.select("file_name", "_head.*", F.array_join(F.transform(F.array_sort("_more"), lambda x: x["line"]), "\n").alias("_rest"), (F.size("_more") > 0).alias("_goes_on"))
     first = F.when(F.col("class").isin("E", "S"), F.col("line"))
-    return heads.withColumn("stack_trace", F.when(first.isNotNull() | F.col("_more").isNotNull(), F.concat_ws("\n", first, "_more"))).drop("_more", "head_line")
+    return heads.withColumn("stack_trace", F.concat_ws("\n", first, F.when(F.col("_goes_on"), F.col("_rest")))).withColumn("stack_trace", F.when(first.isNotNull() | F.col("_goes_on"), F.col("stack_trace"))).drop("_rest", "_goes_on")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import normal_level, status_level
-from ..functions.metadata import entry, line_metadata
+from ..functions.metadata import as_metadata, entry, line_entries
 from ..functions.texts import filled, source_of, trim
 from ..functions.times import checked_pattern, text_time
 from ..options import ParseOptions
@@ -42,12 +42,6 @@ INDICATOR = "Exception|Error|Throwable"
 _CUT = "\uE000"
 
 
-def _class_of(line: Column, form: Column, message: Column) -> Column:
-    multi = [g.name for g in GRAMMARS if g.multi_line]
-    known = F.when(form.isin(*multi) & message.rlike(INDICATOR), "I").when(form.isNotNull(), "M").otherwise("U")
-    return F.when(line.isNull() | (trim(line) == ""), "B").when(line.rlike(STACK_LINE), "S").when(trim(line).rlike(EXCEPTION_LINE), "E").otherwise(known)
-
-
 def match_lines(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     """`lines` (file_name, line_number, line) with format, class and the fields of the grammar that fits.
 
@@ -55,10 +49,13 @@ def match_lines(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     """
     line = F.col("line")
     lines = lines.withColumn("line", F.substring(line, 1, opts.max_line_length))
+    bare = trim(line)
+    kind = F.when(line.isNull() | (bare == ""), "B").when(line.rlike(STACK_LINE), "S").when(bare.rlike(EXCEPTION_LINE), "E")
+    lines = lines.withColumn("_kind", kind)
     name = F.lit(None).cast("string")
     for g in reversed(GRAMMARS):
         name = F.when(line.rlike(g.pattern), F.lit(g.name)).otherwise(name)
-    lines = lines.withColumn("format", F.when(~line.rlike(STACK_LINE) & ~trim(line).rlike(EXCEPTION_LINE), name))
+    lines = lines.withColumn("format", F.when(F.col("_kind").isNull(), name))
     groups = F.lit(None).cast("array<string>")
     for g in GRAMMARS:
         marked = F.regexp_replace(line, g.pattern, _CUT.join(f"${k + 1}" for k in range(len(g.groups))))
@@ -73,10 +70,12 @@ def match_lines(lines: DataFrame, opts: ParseOptions) -> DataFrame:
         return out
 
     names = ("timestamp", "level", "thread", "logger", "service", "hostname", "ip", "user", "request", "status", "bytes", "referer", "useragent", "pid", "message")
-    lines = lines.select("file_name", "line_number", "line", "format", *[group(n).alias(f"_{n}") for n in names])
+    lines = lines.select("file_name", "line_number", "line", "format", "_kind", *[group(n).alias(f"_{n}") for n in names])
     said = F.coalesce(trim("_message"), F.when(F.col("_request").isNotNull(), trim(F.concat_ws(" ", "_request", "_status"))), F.when(F.col("format") == "APACHE", trim(F.concat(F.lit(" "), F.col("_status")))), F.when(F.col("format").isNotNull(), F.lit("")))
     lines = lines.withColumn("_said", said)
-    return lines.withColumn("class", _class_of(line, F.col("format"), F.col("_said")))
+    multi = [g.name for g in GRAMMARS if g.multi_line]
+    known = F.when(F.col("format").isin(*multi) & F.col("_said").rlike(INDICATOR), "I").when(F.col("format").isNotNull(), "M").otherwise("U")
+    return lines.withColumn("class", F.coalesce("_kind", known)).drop("_kind")
 
 
 def line_status(matched: DataFrame) -> DataFrame:
@@ -100,11 +99,12 @@ def text_entries(heads: DataFrame, opts: ParseOptions) -> DataFrame:
     real = lambda c: F.when(F.col(c) != "-", F.col(c))
     of = lambda name, key, value: F.when(form == name, entry(key, value)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
     more = [of("APACHE", "client_ip", F.col("_ip")), of("APACHE", "user", real("_user")), of("APACHE", "http_status", F.col("_status")), of("APACHE", "bytes", real("_bytes")), of("APACHE", "referer", real("_referer")), of("APACHE", "user_agent", real("_useragent")), of("SYSLOG", "pid", F.col("_pid"))]
-    stamp = text_time(F.col("_timestamp"), checked_pattern(heads.sparkSession, opts.timestamp_format), opts.year)
-    heads = heads.withColumn("_stamp", stamp)
+    heads = heads.withColumns({"_time": trim(F.col("_timestamp")), "_entries": F.when(form.isNotNull(), line_entries(F.col("line"), more))})
+    stamp = text_time(F.col("_time"), checked_pattern(heads.sparkSession, opts.timestamp_format), opts.year)
     return finish(
         heads.withColumns(
             {
+                "_stamp": stamp,
                 "level": level,
                 "has_error": has_error,
                 "message": F.coalesce("_said", "line"),
@@ -112,7 +112,7 @@ def text_entries(heads: DataFrame, opts: ParseOptions) -> DataFrame:
                 "logger": logger,
                 "source": source_of(logger),
                 "hostname": F.col("_hostname"),
-                "metadata": F.when(form.isNotNull(), line_metadata(F.col("line"), more)),
+                "metadata": as_metadata(F.col("_entries")),
                 "has_stack_trace": F.when(F.col("stack_trace").isNotNull(), F.lit(True)),
             }
         ),

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.metadata import address, link, line_metadata, request_id
+from .functions.metadata import address, as_metadata, line_entries, link, request_id
 from .functions.texts import tokens
 from .operators.aggregates import errors_per_logger, facets, job_statistics, line_accounting, summary, top_error_messages, top_values
 from .operators.csvlog import parse_csv
@@ -298,7 +298,7 @@ register(
 )
 register(
     "key_values",
-    lambda s, d: logs(s, d).select("line_number", line_metadata(F.concat(F.col("message"), F.lit(" user=last a.b='quoted text'")), []).alias("m")).select("line_number", F.element_at("m", "user").alias("user"), F.element_at("m", "a.b").alias("quoted")),
+    lambda s, d: logs(s, d).select("line_number", line_entries(F.concat(F.col("message"), F.lit(" user=last a.b='quoted text'")), []).alias("e")).select("line_number", as_metadata(F.col("e")).alias("m")).select("line_number", F.element_at("m", "user").alias("user"), F.element_at("m", "a.b").alias("quoted")),
     "SELECT line_number, 'last' AS user, 'quoted text' AS quoted FROM lines",
 )
 register("tokenize_documents", lambda s, d: document_entries(s, d).select("line_number", F.size(tokens(F.col("message"))).cast("long").alias("tokens")), f"SELECT doc_id AS line_number, len(regexp_extract_all(lower(coalesce(text, '')), '{SQL_TOKEN}')) AS tokens FROM documents")
