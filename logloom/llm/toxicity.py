@@ -6,8 +6,8 @@ chosen by a chi-square test over the training rows; the machine learns a weight
 a factor vector for each of these, so that pairs of terms, such as an insult with
 the mention of a group, count beyond the sum of their weights.
 
-The training rows are at most `most_rows` labelled rows, those whose ids hash
-lowest; that bound is what makes the model's inputs fit anywhere.  Scoring runs
+The training rows are at about `most_rows` labelled rows, those whose ids
+hash lowest; that bound is what makes the model's inputs fit anywhere.  Scoring runs
 over every whole text.
 """
 
@@ -128,8 +128,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the rows of `df` that `labels` (id, label 0 or 1) marks.  Rows without a label are ignored;
     with none, the model gives every text 0.5 less a little, that is label 0."""
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    some = some.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
-    # The bound on the labelled rows bounds this broadcast: `most_rows` rows of 12 bytes.
+    share = min(1.0, most_rows / max(1, some.count()))
+    some = some.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # The bound on the labelled rows bounds this broadcast: about `most_rows` rows of 12 bytes.
     marked = df.select(id_col, text_col).join(F.broadcast(some), id_col)
     rows = written(row_terms(marked, text_col, ["_label"]), "toxicity-terms")
     size = rows.groupBy().agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
@@ -141,9 +142,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = counts.where((F.col("rows") >= least_rows) & (F.col("rows") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
     buckets = np.array(sorted(r["bucket"] for r in best.orderBy(F.desc("chi2"), "bucket").limit(most_terms).collect()), np.int64)
     chosen = F.array_intersect("terms", F.lit(buckets.tolist()).cast("array<int>")) if len(buckets) else F.array().cast("array<int>")
-    data = rows.select("_label", chosen.alias("terms")).collect()
-    y = np.array([r["_label"] for r in data], float)
-    x = [np.searchsorted(buckets, np.array(r["terms"], np.int64)) for r in data]
+    data = rows.select("_label", chosen.alias("terms")).toArrow().combine_chunks()
+    y = data["_label"].to_numpy().astype(float)
+    lists = data["terms"].combine_chunks() if len(y) else pa.array([], pa.list_(pa.int32()))
+    flat, cuts = np.searchsorted(buckets, lists.flatten().to_numpy()), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    x = [flat[a:b] for a, b in zip(cuts[:-1].astype(int), cuts[1:].astype(int), strict=True)]
     if not len(y) or not len(buckets):
         return Model(buckets[:0], -0.1, np.zeros(0), np.zeros((0, FACTORS)))
     return fit(x, y, buckets)

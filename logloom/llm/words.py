@@ -23,7 +23,7 @@ LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-_powers = np.ones(1, np.uint64)
+_powers = _inverses = np.ones(1, np.uint64)
 
 
 class Words(NamedTuple):
@@ -48,13 +48,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    global _powers, _inverses
     if len(_powers) < n:
-        p = np.full(max(n, 1 << 16), _BASE, np.uint64)
-        p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers[:n]
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 16), base, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _powers, _inverses = both
+    return _powers[:n], _inverses[:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, by sums of powers over blocks of whole words."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        base = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + block, "right")))
+        a, b = starts[first:last] - base, ends[first:last] - base
+        n = int(b[-1])
+        power, inverse = powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[base : base + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        out[first:last] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(_STEP[0]))
+        first = last
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,27 +105,11 @@ def word_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, blank: np.ndar
         after[:-1] = space[1:]
         starts = np.flatnonzero(~space & (before | cut[:-1]))
         ends = np.flatnonzero(~space & (after | cut[1:])) + 1
-        power = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        hashes = _hashes(total, starts, ends, n)
+        hashes = word_hashes(part, starts, ends)
         yield Words(first, last, hashes, np.searchsorted(starts, edges), part, starts, ends)
         first = last
 
 
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    global _inverses
-    if len(_inverses) < n + 1:
-        p = np.full(max(n + 1, 1 << 16), _INVERSE, np.uint64)
-        p[0] = 1
-        _inverses = np.multiply.accumulate(p)
-    return mix((total[ends] - total[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEP[0]))
-
-
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text number within the chunk, hash) of each text's distinct n-grams, ordered by both.
 
