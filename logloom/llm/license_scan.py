@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Words after lower-casing: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Template(NamedTuple):
@@ -94,7 +95,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words and no labels; repeated rows each get the same answer; other columns are
     not looked at.  An empty table gives an empty result.
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), 0).alias("words"))
+    rows = df.select(F.col(id_col).alias("_id"), F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD), 0).alias("words"))
     vocabulary = sorted({w for t in templates for w in t.key})
     files = word_frequencies(rows, vocabulary)
     entry = {t: min(t.key, key=lambda w: (files.get(w, 0), w)) for t in templates}
@@ -142,7 +143,7 @@ def scan_sql(templates: tuple[Template, ...] = TEMPLATES, min_match: float = 0.6
     both = lambda parts: "flatten([" + ", ".join(parts) + "])"
     joined = lambda parts: f"array_to_string(list_sort(list_distinct({both(parts)})), ',')"
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS words FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
 t AS (SELECT doc_id, words, {", ".join(cols)} FROM w)
 SELECT doc_id, len(words) AS n_words, len({both(base)}) AS n_base, list_min({both(base)})::BIGINT AS first_word, list_max({both(base)})::BIGINT AS last_word,
        {joined(base_labels)} AS base_labels, {joined(labels)} AS labels, coalesce(list_max({both(shares)}), 0.0)::DOUBLE AS score
