@@ -44,8 +44,8 @@ class Encoder:
     share their parts, which the tokenizer would also split.  A text that may hold a special token's name is
     tokenised whole."""
 
-    #: Fixed pattern: how the tokenizer splits lower-case ASCII.
-    ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    #: Fixed pattern: how the tokenizer splits lower-case ASCII.  Its blanks are not Python's, which has U+001C to U+001F too.
+    ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
     MARKS = ".,!?:;|*%$#&"
 
     def __init__(self, path: str):

@@ -92,6 +92,12 @@ def test_shared_strings_give_the_tokenizer_s_ids():
     assert e.ids(texts) == want == e.ids(texts)
 
 
+def test_every_ascii_character_as_the_tokenizer_has_it():
+    texts = [form.replace("?", chr(c)) for c in range(128) for form in ("a?b", "1?2", "a ? b", "x.??.y", "?'s", "?")]
+    plain = Tokenizer.from_file(PATH)
+    assert Encoder(PATH).ids(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_documents(spark, docs, clashing):
     long = "word " * 9000
     rows = [(1, "hello world"), (2, long), (3, None), (4, ""), (None, "x"), (1, "hello world"), *((10 + i, "same text here") for i in range(500))]
