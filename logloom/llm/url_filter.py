@@ -37,7 +37,10 @@ RULES = (
     Rule("block", "org", "/es/"),
 )
 DAMPING = 0.85
+#: Rounds of the SQL, which can't test whether ranks have settled.
 ROUNDS = 10
+#: Ranks have settled when those of either kind are together at most so far from where they lead to.
+TOLERANCE = 1e-9
 THRESHOLD = 0.0
 LINK = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -71,9 +74,12 @@ def host_edges(judged: DataFrame, html_col: str) -> DataFrame:
     return links.select("source", link_host(F.col("link"), F.col("source")).alias("target")).where("target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float | None = None) -> DataFrame:
     """(host, trust, distrust) from edges (source, target, n) and seeds (host, trusted, blocked), weights of any sum.
 
+    Without a number of rounds, goes on until a round reaches no new host and ranks have settled.  A round's change
+    shrinks by the damping at least, so what is still to come is at most damping / (1 - damping) times the last one's.
+    With a threshold, that no host's distrust - trust can still come to its other side is enough.
     What reaches a host without further links is not dealt out again.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), "n")
@@ -85,16 +91,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     kinds = [(kind, col, float(totals[col] or 0)) for kind, col in (("trust", "trusted"), ("distrust", "blocked"))]
     start = seeds.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), "host", (F.col(col) / F.lit(total or 1.0)).alias("start")) for kind, col, total in kinds])).alias("s")).select("s.*").where("start > 0")
     start = written(start, "host-seeds")
-    rank = start.withColumnRenamed("start", "rank")
-    for _ in range(rounds):
-        moved = rank.join(ways, (rank["kind"] == ways["kind"]) & (rank["host"] == ways["from"])).select(ways["kind"], F.col("to").alias("host"), (F.col("rank") * F.col("share") * F.lit(damping)).alias("part"))
-        again = start.select("kind", "host", (F.col("start") * F.lit(1 - damping)).alias("part"))
-        rank = written(moved.unionByName(again).groupBy("kind", "host").agg(F.sum("part").alias("rank")), "host-ranks")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+    rank, done, nothing = start.withColumnRenamed("start", "rank"), 0, F.lit(None).cast("double")
+    while rounds is None or done < rounds:
+        moved = rank.join(ways, (rank["kind"] == ways["kind"]) & (rank["host"] == ways["from"])).select(ways["kind"], F.col("to").alias("host"), (F.col("rank") * F.col("share") * F.lit(damping)).alias("part"), nothing.alias("before"))
+        again = start.select("kind", "host", (F.col("start") * F.lit(1 - damping)).alias("part"), nothing.alias("before"))
+        # Each round starts with all seeds, so a host once reached is reached in all later rounds.
+        last = rank.select("kind", "host", F.lit(0.0).alias("part"), F.col("rank").alias("before"))
+        rank = written(moved.unionByName(again).unionByName(last).groupBy("kind", "host").agg(F.sum("part").alias("rank"), F.max("before").alias("before")), "host-ranks")
+        done += 1
+        if rounds is None:
+            hosts = rank.groupBy("host").agg(of("trust"), of("distrust"), F.sum(F.abs(F.col("rank") - F.coalesce("before", F.lit(0.0)))).alias("change"), F.count_if(F.col("before").isNull()).alias("new"))
+            # A host that only one of both reaches stays on its side of 0.
+            unsure = F.lit(threshold != 0) | ((F.col("trust") > 0) & (F.col("distrust") > 0))
+            margin = F.min(F.when(unsure, F.abs(F.col("distrust") - F.col("trust") - F.lit(threshold))))
+            change, new, least = hosts.agg(F.coalesce(F.sum("change"), F.lit(0.0)), F.coalesce(F.sum("new"), F.lit(0)), margin).first()
+            ahead = change * damping / (1 - damping)
+            if not new and (ahead <= tolerance or (threshold is not None and (least is None or least > ahead))):
+                break
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = None, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of `pages`: id, host, path, rule, verdict.
 
     A null url, or one without `://`, has an empty host and path, no rule, and is
@@ -107,7 +125,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     judged = urls.withColumns({"rule": name, "action": action})
     count = lambda what: F.count_if(F.col("action") == what).cast("double")
     seeds = judged.where("action is not null").groupBy("host").agg(count("allow").alias("trusted"), count("block").alias("blocked"))
-    ranks = propagate(host_edges(judged, html_col), written(seeds, "rule-hosts"), rounds)
+    ranks = propagate(host_edges(judged, html_col), written(seeds, "rule-hosts"), rounds, threshold=threshold)
     # Written, so that Spark knows the size of the table of hosts when it chooses how to join it.
     bad = written(ranks.where(F.col("distrust") - F.col("trust") > threshold).select("host", F.lit("block").alias("of_host")), "blocked-hosts")
     verdict = F.coalesce("action", "of_host", F.lit("allow"))

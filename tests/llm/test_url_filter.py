@@ -48,6 +48,12 @@ def test_ranks_equal_a_plain_loop(spark):
         assert x == pytest.approx(trust.get(h, 0)) and y == pytest.approx(distrust.get(h, 0))
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(0, "http://bad/", None), *((i, f"http://h{i}/", f'<a href="http://{f"h{i - 1}" if i > 1 else "bad"}/">x</a>') for i in range(1, 15))]
+    got = verdicts(spark, rows, rules=(Rule("block", "bad", "/"),))
+    assert [got[i]["verdict"] for i in range(15)] == ["block"] * 15
+
+
 def test_links_and_edges(spark):
     df = spark.createDataFrame([("me", '<a href="HTTP://You/x"><a HREF=//they/><a href=\'mailto:a@b\'><a href="/own"><a href="#top">')], "host string, html string")
     assert {(r["target"], r["n"]) for r in host_edges(df, "html").collect()} == {("you", 1), ("they", 1), ("me", 2)}
