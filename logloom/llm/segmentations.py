@@ -11,8 +11,9 @@ region with the largest value holds the next segmentation.  So the segmentations
 a text are distinct by construction, none is drawn and thrown away, and a region's
 value bounds all below it.
 
-The lattice factorises at blanks, so it is built once for each different run of
-characters of a batch, and all texts of the batch are sampled together by numpy.
+The lattice factorises between characters that no piece has side by side, such as a
+letter and a blank, so it is built once for each different run of characters between
+such places of a batch, and all texts of the batch are sampled together by numpy.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from pyspark.sql import types as T
 from .words import mix
 
 SAMPLES = 2
-#: Runs between blanks are cut into units of so many characters; no piece crosses a cut.
-MOST_CHARS = 48
 SLICE_CHARS = 1 << 20
 BLANK = 0x2581  # what a model writes for a space
 LITERAL = 0x110000  # that character itself in a text: no piece has it, so it becomes bytes
@@ -58,6 +57,15 @@ class Pieces:
         ranked = sorted(plain, key=lambda i: -model.get_score(i))
         self.weights[ranked] = -np.log(np.arange(len(ranked)) + 10.0) / temperature
         self.byte_weight = -np.log(len(ranked) + 10.0) / temperature
+        self.longest = max((len(self.texts[i]) for i in plain), default=0)
+        # Which characters some piece has side by side: numbers of characters, and a table of pairs of them.
+        pairs = {(ord(a), ord(b)) for i in plain for a, b in zip(self.texts[i], self.texts[i][1:])}
+        known = np.array(sorted({c for pair in pairs for c in pair}), np.int64)
+        self.number = np.zeros(LITERAL + 1, np.int32)
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.beside = np.zeros((len(known) + 1, len(known) + 1), bool)
+        if pairs:
+            self.beside[tuple(self.number[np.array(list(pairs))].T)] = True
         found: dict[int, int] = {}
         for i in plain:
             h = 0
@@ -112,7 +120,7 @@ class Lattice:
         place, h = np.arange(n), np.zeros(n, np.uint64)
         starts, lengths, ids = [], [], []
         single = np.zeros(n, bool)
-        for length in range(1, MOST_CHARS + 1):
+        for length in range(1, max(pieces.longest, 1) + 1):
             inside = place + length <= ends[place]
             place, h = place[inside], h[inside]
             if not len(place):
@@ -251,16 +259,17 @@ def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, samples: in
     raw = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
     size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     bounds = np.append(0, np.cumsum(size))
-    begin = raw == 0x20
-    begin[bounds[:-1][size > 0]] = True
     at = np.arange(len(raw))
-    begin |= (at - np.maximum.accumulate(np.where(begin, at, 0))) % MOST_CHARS == 0
-    starts = np.flatnonzero(begin)
     chars = np.where(raw == BLANK, LITERAL, np.where(raw == 0x20, BLANK, raw))
+    # A unit starts where no edge can cross.
+    number, begin = pieces.number[chars], np.ones(len(raw), bool)
+    begin[1:] = ~pieces.beside[number[:-1], number[1:]]
+    begin[bounds[:-1][size > 0]] = True
+    starts = np.flatnonzero(begin)
     lengths = np.diff(np.append(starts, len(raw)))
 
     # Equal units share a lattice.
-    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(MOST_CHARS, _KEY)))
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(lengths.max(initial=0), _KEY)))
     place = at - np.repeat(starts, lengths)
     h = np.add.reduceat(mix(chars.astype(np.uint64) + np.uint64(1)) * power[place], starts) if len(starts) else np.zeros(0, np.uint64)
     _, which, kind = np.unique(h, return_index=True, return_inverse=True)

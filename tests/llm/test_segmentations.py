@@ -47,6 +47,24 @@ def test_few_segmentations_are_all_found():
     assert set(got) == set(want) and all(got[k] == (pytest.approx(want[k]), 1.0) for k in want)
 
 
+def test_pieces_of_several_blanks_are_edges():
+    pieces = load_pieces(PATH, 3.0)
+    for text in ("a  b", "   a", "a    "):
+        want = everything(text.replace(" ", "▁"), pieces)
+        got = {tuple(ids.tolist()): lp for _, _, ids, lp, _, _ in sample_texts([text], np.array([7], np.uint64), pieces, len(want) + 5)}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_long_runs_are_not_cut():
+    pieces = load_pieces(PATH, 3.0)
+    for text in ("internationalization" * 5, "a" * 130, "=" * 70, "https://example.com/some/long/path?with=parameters&and=more"):
+        ids, mass = {p: i for i, p in enumerate(pieces.texts) if pieces.weights[i] < 0}, [0.0]
+        for end in range(1, len(text) + 2):
+            mass.append(float(np.logaddexp.reduce([mass[at] + pieces.weights[ids[p]] for at in range(max(0, end - 16), end) if (p := ("▁" + text)[at:end]) in ids])))
+        for _, _, got, lp, _, _ in sample_texts([text], np.array([7], np.uint64), pieces, 4):
+            assert lp == pytest.approx(pieces.weights[got].sum() - mass[-1])
+
+
 def test_without_replacement_frequencies():
     pieces, n = load_pieces(PATH, 8.0), 20_000
     prob = {k: math.exp(v) for k, v in everything("wor", pieces).items()}
