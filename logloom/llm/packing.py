@@ -9,17 +9,16 @@ its length, from counts by length and chunk, and looks its rank up in the plan.
 
 from __future__ import annotations
 
+import math
 import os
-import re
 import zlib
-from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,64 +27,117 @@ from .common import written
 
 CAPACITY = 4096
 END_ID = 1
-#: Tokenised strings, and parts of strings, that a worker remembers before it starts anew.
-MOST_REMEMBERED = 800_000
-#: About so many rows of one length are ranked in one group.
-RANKED_ROWS = 2000
-SLICE_CHARS = 1 << 21
+#: Bytes of remembered strings and their ids in a worker, after which it starts anew.
+REMEMBERED_BYTES = 64 << 20
+#: Bytes of text that are tokenised together, and new strings that the tokenizer gets at once.
+SLICE_BYTES = 4 << 20
+NEW_STRINGS = 20_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
 class Encoder:
-    """Ids of whole texts.  The tokenizer drops white space and never joins across it, so each string between
-    blanks is tokenised once and remembered.  Strings that differ in their punctuation or, in ASCII, in their case
-    share their parts, which the tokenizer would also split.  A text that may hold a special token's name is
-    tokenised whole."""
+    """Ids of whole texts, for a tokenizer that drops white space, never joins across it and marks words' ends.
+    So only each different string between blanks is tokenised, and what came of it is remembered within a bound of bytes.
 
-    #: Fixed pattern: how the tokenizer splits lower-case ASCII.  Its blanks are not Python's, which has U+001C to U+001F too.
-    ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+    Two more things save work, neither of which the tokenizer can tell: capitals of strings that have only ASCII and
+    the letters of Latin-1 are lower-cased first, as the tokenizer does, and marks at a string's end, after such a
+    letter or a digit, are a string of their own.
+    """
+
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    #: Characters that compose and change case alone, whatever stands beside them.
+    SIMPLE = f"^[\x00-\x7f{LETTERS}]*$"
     MARKS = ".,!?:;|*%$#&"
+    MARKED = f"[{LETTERS}0-9][{MARKS}]+$"
+    WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.strings: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, string: str) -> list[str]:
-        if string.isascii():
-            return self.ASCII_PARTS.findall(string.lower())
-        core = string.rstrip(self.MARKS)
-        return [core, string[len(core) :]] if core and core[-1].isalpha() else [string]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        strings = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        # The strings met first have all the frequent ones.
-        if len(self.strings) > MOST_REMEMBERED:
-            self.strings = dict(islice(self.strings.items(), MOST_REMEMBERED // 2))
-        if len(self.parts) > MOST_REMEMBERED:
-            self.parts = dict(islice(self.parts.items(), MOST_REMEMBERED // 2))
-        new = {s: self._split(s) for s in set().union(*strings).difference(self.strings)}
-        parts = list(set().union(*new.values()).difference(self.parts))
-        self.parts.update(zip(parts, self._encode(parts), strict=True))
-        part = self.parts.__getitem__
-        self.strings.update((s, b"".join(map(part, p))) for s, p in new.items())
-        string = self.strings.__getitem__
-        out = [b"".join(map(string, s)) for s in strings]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
+        #: The same model for words that nothing would split.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Ids that end a word: each of these words has one, its last.
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.strings = pa.array([], pa.large_string())
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _tokenise(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The strings' ids one after the other, and how many each has."""
+        plain = pc.match_substring_regex(strings, self.WORD).to_numpy(zero_copy_only=False)
+        flat, owner = [], []
+        for words in (True, False):
+            chosen = np.flatnonzero(plain == words)
+            for first in range(0, len(chosen), NEW_STRINGS):
+                part = chosen[first : first + NEW_STRINGS]
+                texts = strings.take(pa.array(part)).to_pylist()
+                if words:
+                    found = self.words.encode_batch_fast([texts], add_special_tokens=False, is_pretokenized=True)[0]
+                    flat.append(np.array(found.ids, np.uint32))
+                    owner.append(np.repeat(part, np.diff(np.flatnonzero(self.closes[flat[-1]]), prepend=-1)))
+                else:
+                    ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                    flat.append(np.array([i for one in ids for i in one], np.uint32))
+                    owner.append(np.repeat(part, [len(one) for one in ids]))
+        if not flat:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, owners = np.concatenate(flat), np.concatenate(owner)
+        return ids[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(strings))
+
+    def _known(self, strings: pa.Array) -> np.ndarray:
+        """The number of each of these different strings among those remembered, after tokenising the new ones."""
+        if self.strings.nbytes + self.flat.nbytes + self.ends.nbytes > REMEMBERED_BYTES:
+            self._forget()
+        at = pc.index_in(strings, value_set=self.strings)
+        new = strings.filter(at.is_null())
+        ids, count = self._tokenise(new)
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        out[out < 0] = len(self.strings) + np.arange(len(new))
+        self.strings = pa.concat_arrays([self.strings, new])
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
         return out
 
+    def _parts(self, strings: pa.Array) -> pa.Array:
+        """Each string's core and its tail, which may be empty, one after the other."""
+        simple = pc.match_substring_regex(strings, self.SIMPLE)
+        strings = pc.if_else(simple, pc.utf8_lower(strings), strings)
+        cut = pc.match_substring_regex(strings, self.MARKED)
+        core = pc.if_else(cut, pc.utf8_rtrim(strings, self.MARKS), strings)
+        _, offsets, data = strings.buffers()
+        at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+        bounds = np.append(np.stack([at[:-1], at[:-1] + pc.binary_length(core).to_numpy()], 1).ravel(), at[-1])
+        return pa.Array.from_buffers(pa.large_string(), 2 * len(strings), [None, pa.py_buffer(bounds), data])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after the other, and where each text's begin, with the end of the last."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        strings = lists.flatten().dictionary_encode()
+        parts = self._parts(strings.dictionary).dictionary_encode()
+        known = self._known(parts.dictionary)
+        # The ids of each different string, and then those of each string of the texts.
+        flat, ends = _gather(self.flat, self.ends, known[parts.indices.to_numpy()])
+        flat, ends = _gather(flat, ends[::2], strings.indices.to_numpy())
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return flat, ends[offsets]
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `chosen` of `flat`, the k-th of which goes from ends[k] to ends[k + 1], one after the other."""
+    size = (ends[1:] - ends[:-1])[chosen]
+    out = np.append(0, np.cumsum(size))
+    return flat[np.repeat(ends[:-1][chosen] - out[:-1], size) + np.arange(out[-1])], out
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -96,6 +148,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def text_slices(texts: pa.Array, most_bytes: int = SLICE_BYTES):
+    """(first row, texts) of consecutive rows with at most so many bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Each text's ids, then the end id, in pieces of `capacity`, the last one shorter.
 
@@ -109,24 +172,19 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).encode
         for b in batches:
-            texts, first = [t or "" for t in b.column(1).to_pylist()], 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
-                    chars += len(texts[last])
-                    last += 1
+            for first, texts in text_slices(b.column(1)):
+                flat, bounds = encode(texts)
                 rows = []
-                for i, ids in enumerate(encode(texts[first:last])):
-                    ids += end
+                for i, (start, stop) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    ids = flat[start:stop].astype("<u4").tobytes() + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
-                        rows.append((first + i, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
+                        rows.append((first + i, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
                 columns = list(zip(*rows, strict=True))
                 arrays = [b.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), *(pa.array(columns[k], pa.int64()) for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[5], pa.binary())] * with_ids, names=schema.names)
-                first = last
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -293,8 +351,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = packing_plan(histogram, capacity)
-    # At most `capacity` rows, whatever the number of pieces.
-    chunks = spark.createDataFrame([(k, -(-n // RANKED_ROWS)) for k, n in histogram.items()], "length long, _chunks long")
+    # At most `capacity` rows, whatever the number of pieces.  Of n pieces of one length, about the root of n are
+    # ranked in a group, and as many groups have their bases summed up.
+    chunks = spark.createDataFrame([(k, math.isqrt(n - 1) + 1) for k, n in histogram.items()], "length long, _chunks long")
     dealt = pieces.join(F.broadcast(chunks), "length").withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.col("_chunks")))
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "_chunk").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")

@@ -3,11 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from logloom.llm.common import tokenizer
-from logloom.llm.packing import Encoder, best_fit, pack, pack_documents, packing_plan, reduce_by_dominance, token_pieces
+from logloom.llm.packing import Encoder, best_fit, pack, pack_documents, packing_plan, reduce_by_dominance, text_slices, token_pieces
 
 PATH = tokenizer("word_bpe_49k.json")
 
@@ -84,18 +85,49 @@ def test_large_histogram_needs_few_runs():
     assert len(packing_plan({k: v * 10**6 for k, v in h.items()})) < 60_000
 
 
-def test_shared_strings_give_the_tokenizer_s_ids():
-    texts = ["", "Don't STOP it's", "a<|endoftext|>b  x", "İstanbul ΣΑΣ. été… ! ?", "日本語、テスト。 １２３ abc123def", "é. x́!", "tab\tx y z\x1cq", "'S'T're'VE 's", "ﬁ. ½! Ⅷ. x²."]
+def ids_of(e, texts):
+    flat, bounds = e.encode(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def whole_ids(texts):
     plain = Tokenizer.from_file(PATH)
-    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    return [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shared_strings_give_the_tokenizer_s_ids():
+    texts = ["", "Don't STOP it's", "a<|endoftext|>b  x", "İstanbul ΣΑΣ. été… ! ?", "日本語、テスト。 １２３ abc123def", "é. x́!", "tab\tx y z\x1cq", "'S'T're'VE 's", "ﬁ. ½! Ⅷ. x²."]
+    texts += ["MEVSİMİ.", "İ.́ J̌. J̌", "\x1c", "a\x1fb", "x.\x00.", "a.\r\nb,\n\nc", "ÀÉ?! ÿ* Ÿ*", "K. Å#", "a;̧ b", "<|startoftext|>. <|", "5.5, 5., .5"]
     e = Encoder(PATH)
-    assert e.ids(texts) == want == e.ids(texts)
+    assert ids_of(e, texts) == whole_ids(texts) == ids_of(e, texts)
 
 
 def test_every_ascii_character_as_the_tokenizer_has_it():
-    texts = [form.replace("?", chr(c)) for c in range(128) for form in ("a?b", "1?2", "a ? b", "x.??.y", "?'s", "?")]
-    plain = Tokenizer.from_file(PATH)
-    assert Encoder(PATH).ids(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts = [form.replace("?", chr(c)) for c in range(128) for form in ("a?b", "1?2", "a ? b", "x.??.y", "?'s", "?", "É?.", "a?̈")]
+    assert ids_of(Encoder(PATH), texts) == whole_ids(texts)
+
+
+def test_random_strings_as_the_tokenizer_has_them():
+    r = random.Random(3)
+    signs = "aZéÉßİıΣσςJKÅ ̧̌̇́.,!?:;|*%$#&'\"<|>sStTmMdD019½Ⅷ²日テ\x1c\x1f\x85\xa0\u2028\u3000\t\n\x00\u200d🙂"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 7))) for _ in range(20_000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x300, 0x380), r.randrange(0x1E00, 0x2000)])) for _ in range(4)) for _ in range(20_000)]
+    assert ids_of(Encoder(PATH), texts) == whole_ids(texts)
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr("logloom.llm.packing.REMEMBERED_BYTES", 4000)
+    r, e = random.Random(5), Encoder(PATH)
+    for _ in range(30):
+        texts = [" ".join("".join(r.choice("abcdE.") for _ in range(r.randint(0, 6))) for _ in range(20)) for _ in range(3)]
+        assert ids_of(e, texts) == whole_ids(texts)
+        assert e.strings.nbytes + e.flat.nbytes + e.ends.nbytes < 4000 + 6000
+
+
+def test_long_texts_are_slices_of_their_own():
+    texts = pa.array(["ab", None, "c" * 50, "", "d"])
+    assert [(k, t.to_pylist()) for k, t in text_slices(texts, 10)] == [(0, ["ab", None]), (2, ["c" * 50]), (3, ["", "d"])]
+    assert list(text_slices(texts.slice(0, 0))) == []
 
 
 def test_documents(spark, docs, clashing):
@@ -123,8 +155,7 @@ def test_documents(spark, docs, clashing):
     assert pack_documents(docs([]), PATH).count() == 0
 
 
-def test_ranks_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr("logloom.llm.packing.RANKED_ROWS", 7)
+def test_ranks_are_dealt_out(spark):
     pieces = spark.range(200).selectExpr("id doc_id", "0 piece", "id % 3 + 1 length")
     assert len({(r["sequence_id"], r["offset"]) for r in pack(pieces, 10).collect()}) == 200
 
