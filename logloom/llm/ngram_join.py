@@ -1,7 +1,7 @@
 """Similarity join of n-gram sets by prefix trees.
 
 Two texts are linked when the Jaccard similarity of their sets of word n-grams is at
-least `similarity` percent.  The join loses no such pair:
+least `similarity` percent.  The join loses no link between components:
 
 1. Texts with equal sets become one class.
 2. A filter by the ordered beginnings of the sets.  In a global order of n-grams (their
@@ -10,16 +10,25 @@ least `similarity` percent.  The join loses no such pair:
    have no partner and leave, which in most corpora are nearly all.
 3. For the rest the global order is rarest first, and beginnings are short.  Sets that
    share an n-gram of their beginnings, directly or over others, form a block.
-4. In each block the sets are put in a trie.  Walking it adds each node's n-gram to the
-   partial overlaps with all sets once for every set below the node; a branch that can
-   no longer reach the overlap it needs, given the length that remains, is cut off.
-
-A block too large for one task is dealt out by the n-grams of the beginnings instead,
-with the pairs counted only under the first n-gram they share.
+4. Blocks are dealt out in chunks of bounded size.  In each chunk the sets are put in a
+   trie, which is walked once for all sets: the overlaps of all sets with the path to a
+   node are shared by everything below it, and a set leaves the walk of a subtree as soon
+   as the overlap so far and the length that remains can't make a link with any set there.
+5. Of each chunk's components the set with most links stands for it, and these are joined
+   in chunks again, until chunks of a block can't be brought together further.  Most near
+   copies are then in one component.  A link that is still missing has an end outside its
+   block's largest component, so every set there meets the tries of all chunks that have
+   an n-gram of its beginning.
+
+So the work grows with the number of sets and of those outside, not with the square of a
+group of near copies.  That is also why links are not counted: all pairs of such a group
+would have to be looked at.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,9 +44,9 @@ SIMILARITY = 75
 #: Classes with the most copies that every task knows, so that it leaves the copies out: 24 bytes each.  Copies in
 #: other classes take part like any other text.
 KNOWN_CLASSES = 1 << 16
-#: A block with more n-grams or more sets than this is dealt out.
-BLOCK_GRAMS = 8_000_000
-BLOCK_SETS = 20_000
+#: A chunk has about so many sets, and about so many n-grams if it has more than one set.
+CHUNK_SETS = 256
+CHUNK_GRAMS = 1_000_000
 #: N-grams that a task gathers before it sends them on.
 GATHERED = 4_000_000
 
@@ -165,172 +174,246 @@ def all_grams(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def ordered_sets(df: DataFrame, kept: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, similarity: int) -> DataFrame:
-    """vertex, n, weight, grams, docs' first: sets with equal repeated n-grams and equal size are one vertex.
-
-    grams has the n-grams that at least two sets have, rarest first; those of one set alone come before them in the
-    global order and link nothing.
-    """
+def ordered_sets(df: DataFrame, kept: DataFrame, id_col: str, text_col: str, size: int, similarity: int) -> DataFrame:
+    """(doc, n, grams): grams has the n-grams that at least two sets have, rarest first; those of one set alone come
+    before them in the global order and link nothing."""
     rows = df.select(F.col(id_col).alias("doc"), text_col).join(kept.select("doc").distinct(), "doc", "left_semi")
-    grams = written(all_grams(rows, "doc", text_col, size), "grams")
+    grams = written(all_grams(rows, "doc", text_col, size).join(kept, ["doc", "n"], "left_semi"), "grams")
     sets = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
     ordered = grams.join(sets, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "gram"))).alias("g")).select("doc", "n", F.col("g.gram").alias("grams"))
-    return written(ordered.where(F.size("grams") >= needed(F.col("n"), similarity)).join(classes.select("doc", "n", "copies"), ["doc", "n"]), "ordered-sets")
-
-
-def beginning(similarity: int) -> Column:
-    """How many of `grams` belong to the beginning of a set of size n, whose other n-grams no other set has."""
-    return F.size("grams") - needed(F.col("n"), similarity) + 1
-
-
-def block_links(ids: list, n: np.ndarray, weight: np.ndarray, grams: list[np.ndarray], similarity: int, only: int | None = None, firsts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(root, links) of the sets of a block: the number of the first set of each one's component, and the weight of
-    the sets linked to it.  With `only`, pairs count as links only if that n-gram is the first of their beginnings
-    (`firsts` has their lengths) that they share; components use all pairs."""
-    m = len(n)
-    flat = np.concatenate(grams)
-    values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    # Most frequent first, so that similar sets share long paths from the root.
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(values))
-    cuts = np.append(0, np.cumsum([len(g) for g in grams]))
-    label = rank[inverse]
-    paths = [np.sort(label[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    order = sorted(range(m), key=lambda i: paths[i].astype(">u4").tobytes())
-    owner = np.repeat(np.arange(m), np.diff(cuts))
-    by_label = np.argsort(label, kind="stable")
-    posting = owner[by_label]
-    post = np.searchsorted(label[by_label], np.arange(len(values) + 1))
-
-    def shared(a: int, b: int) -> int:
-        x, y = paths[a], paths[b]
-        k = min(len(x), len(y))
-        differ = np.flatnonzero(x[:k] != y[:k])
-        return int(differ[0]) if len(differ) else k
-
-    parent = np.arange(m)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = np.zeros(m, np.int64)
-    overlap, depth, path = np.zeros(m, np.int32), 0, None
-    ahead = [shared(a, b) for a, b in zip(order[:-1], order[1:], strict=True)] + [0]
-    before = 0
-    for place, i in enumerate(order):
-        own = paths[i]
-        while depth > before:  # back up to where this set leaves the last one's path
-            depth -= 1
-            overlap[posting[post[path[depth]] : post[path[depth] + 1]]] -= 1
-        path = own
-        while depth < ahead[place]:  # down the path that the next set shares
-            overlap[posting[post[own[depth]] : post[own[depth] + 1]]] += 1
-            depth += 1
-        before = ahead[place]
-        found, at, need = overlap.copy(), depth, -(-int(n[i]) * similarity // 100)
-        while at < len(own):
-            # What others share with this set so far and all that remains of it must reach what a link needs.
-            found[i] = 0
-            if at and int(found.max(initial=0)) + len(own) - at < need:
-                break
-            step = own[at : at + max(64, (len(own) - at + 1) // 2)]
-            spans = [posting[post[g] : post[g + 1]] for g in step]
-            found += np.bincount(np.concatenate(spans), minlength=m).astype(np.int32)
-            at += len(step)
-        found[i] = 0
-        partners = np.flatnonzero((100 + similarity) * found.astype(np.int64) >= similarity * (n[i] + n))
-        partners = partners[(partners != i) & (at >= len(own))]
-        for j in partners.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if only is not None and len(partners):
-            mine = grams[i][: firsts[i]]
-            partners = np.array([j for j in partners.tolist() if mine[np.isin(mine, grams[j][: firsts[j]])][:1].tolist() == [only]], np.int64)
-        links[i] = weight[partners].sum() if len(partners) else 0
-    return np.array([root(i) for i in range(m)]), links
-
-
-def join_blocks(sets: DataFrame, similarity: int) -> DataFrame:
-    """(vertex, root, links) from sets (block, part, vertex, n, weight, grams); the rows of a block and part stand together."""
-    schema = T.StructType([sets.schema["vertex"], T.StructField("root", sets.schema["vertex"].dataType), T.StructField("links", T.LongType())])
-
-    def joined(rows: list) -> pa.RecordBatch:
-        part = rows[0][1]
-        ids, n, weight = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        firsts = np.array([len(r[5]) for r in rows]) - -(-n * similarity // 100) + 1
-        root, links = block_links(ids, n, weight, [r[5] for r in rows], similarity, part, firsts)
-        names = schema.names
-        vertex = pa.array(ids)
-        return pa.RecordBatch.from_arrays([vertex, vertex.take(pa.array(root)), pa.array(links)], names=names)
+    return written(ordered.where(F.size("grams") >= needed(F.col("n"), similarity)), "ordered-sets")
+
+
+def starts(sets: DataFrame, similarity: int, *keep: str) -> DataFrame:
+    """`keep` and gram: a row for each n-gram of the beginnings of `sets`, whose other n-grams no other set has."""
+    beginning = F.greatest(F.size("grams") - needed(F.col("n"), similarity) + 1, F.lit(0)).cast("int")
+    return sets.select(*keep, F.explode(F.slice("grams", F.lit(1), beginning)).alias("gram"))
+
+
+# ---------------------------------------------------------------- in a task
+
+
+class Sets(NamedTuple):
+    """Some sets with their sizes, which count n-grams that no other set has too."""
+
+    ids: list
+    n: np.ndarray
+    grams: list[np.ndarray]
+
+
+class Trie:
+    """The trie of some sets: their n-grams, most frequent first, as sorted paths, with the depth to which each path is
+    also the next one's.  A node is a run of paths and the depth to which they are one."""
+
+    def __init__(self, sets: Sets):
+        flat = np.concatenate(sets.grams)
+        self.values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.values), np.int64)
+        self.rank[np.argsort(-count, kind="stable")] = np.arange(len(self.values))
+        cuts = np.append(0, np.cumsum([len(g) for g in sets.grams]))
+        paths = [np.sort(self.rank[inverse[a:b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        self.order = np.array(sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes()), np.int64)
+        self.paths = [paths[i] for i in self.order]
+        self.n, self.length = sets.n[self.order], np.array([len(p) for p in self.paths], np.int64)
+        self.shared = np.array([_shared(a, b) for a, b in zip(self.paths[:-1], self.paths[1:])], np.int64)
+
+    def links(self, probes: Sets, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a probe, number of a set) of all linked pairs."""
+        at = np.minimum(np.searchsorted(self.values, np.concatenate(probes.grams)), len(self.values) - 1)
+        owner = np.repeat(np.arange(len(probes.grams)), [len(g) for g in probes.grams])
+        known = self.values[at] == np.concatenate(probes.grams)
+        label, owner = self.rank[at[known]], owner[known]
+        by_label = np.argsort(label, kind="stable")
+        posting, post = owner[by_label], np.searchsorted(label[by_label], np.arange(len(self.values) + 1))
+        inside = np.bincount(owner, minlength=len(probes.n))  # n-grams of each probe that the trie has
+        found: tuple[list, list] = ([], [])
+        everyone = np.arange(len(probes.n))
+        todo = [(0, len(self.paths), 0, everyone, np.zeros(len(everyone), np.int64))]
+        while todo:
+            low, high, depth, active, overlap = todo.pop()
+            # At most what remains of a probe and of the longest path below can be added.
+            least, rest = self.n[low:high].min(), self.length[low:high].max() - depth
+            can = overlap + np.minimum(inside[active] - overlap, rest)
+            going = (100 + similarity) * can >= similarity * (probes.n[active] + least)
+            if not going.any():
+                continue
+            active, overlap = active[going], overlap[going]
+            end = int(self.shared[low : high - 1].min()) if high - low > 1 else int(self.length[low])
+            segment = self.paths[low][depth:end]
+            if len(segment):
+                size = post[segment + 1] - post[segment]
+                reached = posting[np.repeat(post[segment] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())]
+                overlap = overlap + np.bincount(reached, minlength=len(probes.n))[active]
+            if high - low == 1:
+                hit = (100 + similarity) * overlap >= similarity * (probes.n[active] + self.n[low])
+                found[0].append(active[hit])
+                found[1].append(np.full(hit.sum(), self.order[low]))
+                continue
+            cuts = [low, *(low + 1 + np.flatnonzero(self.shared[low : high - 1] == end)).tolist(), high]
+            todo += [(a, b, end, active, overlap) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    k = min(len(a), len(b))
+    differ = np.flatnonzero(a[:k] != b[:k])
+    return int(differ[0]) if len(differ) else k
+
+
+def chunk_components(sets: Sets, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the first set of each set's component, and whether the set has most links of its component."""
+    m = len(sets.n)
+    a, b = Trie(sets).links(sets, similarity)
+    beside = np.eye(m, dtype=bool)
+    beside[a, b] = beside[b, a] = True
+    root, links, hub = np.full(m, -1), beside.sum(1), np.zeros(m, bool)
+    for i in range(m):
+        if root[i] < 0:
+            members = beside[i]
+            while (more := members | beside[members].any(0)).sum() > members.sum():
+                members = more
+            root[members] = i
+            hub[np.argmax(np.where(members, links, -1))] = True
+    return root, hub
+
+
+def grouped(batches, keys: int):
+    """(key, Sets) of rows (key columns, id, n, grams) of which those with equal keys stand together.  Of `keys` columns
+    the last tells whether the rows are put in a trie (0) or only meet it (1); the latter come in parts."""
+    key, ids, n, grams, total = None, [], [], [], 0
+    for b in batches:
+        lists = b.column(keys + 2)
+        values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(keys + 2)), strict=True)):
+            if ids and (key != row[:keys] or (key[-1] and (len(ids) >= CHUNK_SETS or total >= CHUNK_GRAMS))):
+                yield key, Sets(ids, np.array(n, np.int64), grams)
+                ids, n, grams, total = [], [], [], 0
+            key = row[:keys]
+            ids.append(row[keys])
+            n.append(row[keys + 1])
+            grams.append(values[at[k] : at[k + 1]].copy())
+            total += len(grams[-1])
+    if ids:
+        yield key, Sets(ids, np.array(n, np.int64), grams)
+
+
+# ---------------------------------------------------------------- rounds
+
+
+def in_chunks(sets: DataFrame) -> DataFrame:
+    """`sets` (block, vertex, n, grams) with chunk, which deals each block out."""
+    sizes = sets.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum(F.size("grams")) / CHUNK_GRAMS)).alias("chunks"))
+    return sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")))
+
+
+def join_chunks(sets: DataFrame, similarity: int) -> DataFrame:
+    """(block, chunks, vertex, root, hub) of sets (block, chunks, chunk, vertex, n, grams), joined within each chunk."""
+    vertex = sets.schema["vertex"]
+    schema = T.StructType([T.StructField("block", sets.schema["block"].dataType), T.StructField("chunks", T.LongType()), vertex, T.StructField("root", vertex.dataType), T.StructField("hub", T.BooleanType())])
 
     def run(batches):
-        key, rows = None, []
-        for b in batches:
-            lists = b.column(5)
-            values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for k, (block, part, vertex, n, weight) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
-                if key is not None and key != (block, part):
-                    yield joined(rows)
-                    rows = []
-                key = (block, part)
-                rows.append((block, part, vertex, n, weight, values[at[k] : at[k + 1]].copy()))
-        if rows:
-            yield joined(rows)
+        for (block, chunks, _, _), part in grouped(batches, 4):
+            root, hub = chunk_components(part, similarity)
+            ids = pa.array(part.ids)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids)), pa.array([chunks] * len(ids), pa.int64()), ids, ids.take(pa.array(root)), pa.array(hub)], names=schema.names)
+
+    rows = sets.select("block", "chunks", "chunk", F.lit(0).alias("role"), "vertex", "n", "grams")
+    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(run, schema)
 
-    return sets.select("block", "part", "vertex", "n", "weight", "grams").repartition("block", "part").sortWithinPartitions("block", "part", "vertex").mapInArrow(run, schema)
+
+def meet_chunks(sets: DataFrame, outside: DataFrame, similarity: int) -> DataFrame:
+    """Edges (a, b) from each vertex of `outside` to the sets linked to it, one for each of their components.
+
+    A vertex goes to the chunks that have an n-gram of its beginning, and these are copied for each CHUNK_SETS of its
+    visitors, so that no task has more than a chunk and so many visitors.
+    """
+    vertex, component = sets.schema["vertex"], sets.schema["component"].dataType
+    schema = T.StructType([T.StructField("a", vertex.dataType), T.StructField("b", vertex.dataType)])
+    places = starts(sets, similarity, "block", "chunk", "n").groupBy("gram", "block", "chunk").count().drop("count")
+    visits = starts(outside, similarity, "vertex").join(places, "gram").select("vertex", "block", "chunk").distinct()
+    visits = written(visits, "visits")
+    parts = visits.groupBy("block", "chunk").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts"))
+    visitors = visits.join(parts, ["block", "chunk"]).withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts"))).drop("parts").join(outside.select("vertex", "n", "grams", "component"), "vertex")
+    hosts = sets.join(parts, ["block", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["block", "chunk", "part", "role", F.struct("vertex", "component").alias("id"), "n", "grams"]
+    rows = hosts.withColumn("role", F.lit(0)).select(*columns).unionByName(visitors.withColumn("role", F.lit(1)).select(*columns))
+
+    def run(batches):
+        trie, hosts = None, []
+        for key, part in grouped(batches, 4):
+            if key[3] == 0:
+                trie, hosts, place = Trie(part), part.ids, key[:3]
+            elif trie is not None and place == key[:3]:
+                a, b = trie.links(part, similarity)
+                found = {(part.ids[i]["vertex"], hosts[j]["component"]): hosts[j]["vertex"] for i, j in zip(a.tolist(), b.tolist(), strict=True) if part.ids[i]["component"] != hosts[j]["component"]}
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], ids), pa.array(list(found.values()), ids)], names=schema.names)
+
+    ids = pa.int64() if isinstance(vertex.dataType, T.LongType) else None
+    return rows.repartition("block", "chunk", "part").sortWithinPartitions("block", "chunk", "part", "role").mapInArrow(run, schema)
+
+
+def joined(placed: DataFrame, similarity: int) -> DataFrame:
+    """(node, component) of the sets of `placed` (block, vertex, n, grams) that have a link."""
+    chunked = written(in_chunks(placed), "chunks")
+    now = written(join_chunks(chunked, similarity), "chunk-components")
+    edges = now.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+    divided = now.where("chunks > 1 and hub")
+    before, hubs = None, divided.count()
+    # Sets with most links meet in chunks again, as long as that leaves fewer of them.
+    while hubs and (before is None or hubs < before * 0.9):
+        again = in_chunks(placed.join(divided.select("vertex"), "vertex", "left_semi"))
+        now = written(join_chunks(again, similarity), "hub-components")
+        edges = edges.unionByName(now.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+        divided = now.where("chunks > 1 and hub")
+        before, hubs = hubs, divided.count()
+    components = connected_components(edges)
+    if before is None:
+        return components
+    # Blocks of several chunks: what is not in the largest component meets all chunks that it can have a link to.
+    parted = written(chunked.where("chunks > 1").join(components, F.col("vertex") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "vertex")), "parted-blocks")
+    largest = parted.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", F.col("component"))).alias("largest"))
+    outside = written(parted.join(largest, "block").where("component <> largest").drop("largest"), "outside")
+    more = written(meet_chunks(parted, outside, similarity), "late-links")
+    if more.isEmpty():
+        return components
+    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per row of `df`: id, n_shingles, component_id, n_links.
-
-    component_id is the smallest id reachable by links, n_links the number of other
-    rows linked to this one.  A text with fewer than `size` words has its whole
-    sequence as its n-gram; a null or empty text, or one without words, has an empty
-    set and no links.  A row without an id takes no part and has a null component.
-    A repeated row is linked to its twin.  Ids are meant to be unique; rows that
-    share an id but not a text count as documents of their own if their sets differ
-    in size.  Other columns are not looked at; an empty table gives an empty result.
+    """One row per row of `df`: id, n_shingles, component_id, n_equal.
+
+    component_id is the smallest id reachable by links, n_equal the number of rows
+    with the same set of n-grams, this one included.  A text with fewer than `size`
+    words has its whole sequence as its n-gram; a null or empty text, or one without
+    words, has an empty set and no links (n_equal is 1).  A row without an id takes no
+    part and has a null component.  A repeated row is linked to its twin.  Ids are
+    meant to be unique; rows that share an id but not a text count as documents of
+    their own if their sets differ in size.  Other columns are not looked at; an empty
+    table gives an empty result.
     """
     light = written(set_classes(df, id_col, text_col, size), "set-classes").withColumnRenamed(id_col, "doc")
     real = df.where(F.col(id_col).isNotNull())
     classes = written(light.where("n > 0 and doc is not null").groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "classes")
     kept = possible(real, classes, id_col, text_col, size, similarity)
-    sets = ordered_sets(real, kept, classes, id_col, text_col, size, similarity)
-
-    same = Window.partitionBy("n", F.size("grams"), F.xxhash64("grams"), F.hash("grams"))
-    member = written(sets.withColumn("vertex", F.min("doc").over(same)).select("doc", "n", "copies", "vertex", "grams"), "members")
-    vertices = member.groupBy("vertex", "n").agg(F.sum("copies").alias("weight"), F.max(F.when(F.col("doc") == F.col("vertex"), F.col("grams"))).alias("grams"))
-    vertices = written(vertices, "vertices")
-
-    starts = vertices.select("vertex", F.explode(F.slice("grams", F.lit(1), F.greatest(beginning(similarity), F.lit(0)).cast("int"))).alias("gram"))
-    least = starts.groupBy("gram").agg(F.min("vertex").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    near = starts.join(least, "gram").select(F.col("vertex").alias("a"), "b")
-    blocks = connected_components(near)
-    placed = written(vertices.join(blocks, vertices["vertex"] == blocks["node"]).drop("node").withColumnRenamed("component", "block"), "blocks")
-    large = placed.groupBy("block").agg(F.sum(F.size("grams")).alias("_grams"), F.count("*").alias("_sets")).where((F.col("_grams") > BLOCK_GRAMS) | (F.col("_sets") > BLOCK_SETS)).select("block")
-    large = written(large, "large-blocks")
-    whole = placed.join(large, "block", "left_anti").withColumn("part", F.lit(None).cast("long"))
-    dealt = placed.join(large, "block", "left_semi").withColumn("part", F.explode(F.slice("grams", F.lit(1), F.greatest(beginning(similarity), F.lit(0)).cast("int"))))
-    found = written(join_blocks(whole.unionByName(dealt), similarity), "joined")
-
-    linked = found.groupBy("vertex").agg(F.sum("links").alias("others"))
-    roots = connected_components(found.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+    sets = ordered_sets(real, kept, id_col, text_col, size, similarity)
+
+    # Sets of one size with equal repeated n-grams are one vertex; a task combines them before anything is shuffled.
+    same = ["n", F.size("grams").alias("size"), F.xxhash64("grams").alias("h1"), F.hash("grams").alias("h2")]
+    vertices = written(sets.groupBy(*same).agg(F.min("doc").alias("vertex"), F.first("grams").alias("grams")), "vertices")
+    first = starts(vertices, similarity, "vertex")
+    least = first.groupBy("gram").agg(F.min("vertex").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    blocks = connected_components(first.join(least, "gram").select(F.col("vertex").alias("a"), "b"))
+    placed = written(vertices.join(blocks, F.col("vertex") == F.col("node")).select(F.col("component").alias("block"), "vertex", "n", "grams"), "blocks")
+    roots = joined(placed, similarity)
+
     # A vertex's own sets are linked to one another if what they share is enough.
-    own = (100 + similarity) * F.size("grams") >= 2 * similarity * F.col("n")
-    weights = vertices.select("vertex", "n", F.col("weight").alias("all"), own.alias("own"))
-    known = member.select("doc", "n", "copies", "vertex").join(weights, ["vertex", "n"]).join(linked, "vertex", "left").join(roots, F.col("vertex") == F.col("node"), "left")
-    together = F.coalesce("component", F.when(F.col("own"), F.col("vertex")), F.col("doc"))
-    known = known.select("doc", "n", together.alias("component"), (F.coalesce("others", F.lit(0)) + F.when(F.col("own"), F.col("all") - F.col("copies")).otherwise(0)).alias("beyond"))
-    by_class = classes.join(known, ["doc", "n"], "left").select("d1", "d2", "n", F.coalesce("component", "doc").alias("component"), (F.coalesce("beyond", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    by_class = written(by_class, "class-components")
-    return (
-        light.join(by_class, ["d1", "d2", "n"], "left")
-        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"), F.when(F.col("doc").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
-    )
+    own = (100 + similarity) * F.col("size") >= 2 * similarity * F.col("n")
+    member = sets.select("doc", *same).join(vertices.select("n", "size", "h1", "h2", "vertex", own.alias("own")), ["n", "size", "h1", "h2"]).join(roots, F.col("vertex") == F.col("node"), "left")
+    known = member.select("doc", "n", F.coalesce("component", F.when(F.col("own"), F.col("vertex"))).alias("component"))
+    by_class = written(classes.join(known, ["doc", "n"], "left").select("d1", "d2", "n", F.coalesce("component", "doc").alias("component"), "copies"), "class-components")
+    told = light.where("n > 0").join(by_class, ["d1", "d2", "n"], "left").unionByName(light.where("n = 0"), allowMissingColumns=True)
+    linked = F.col("doc").isNotNull()
+    return told.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component", "doc")).alias("component_id"), F.when(linked, F.coalesce("copies", F.lit(1))).otherwise(1).alias("n_equal"))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: int = SIMILARITY) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +8,7 @@ import pytest
 
 from logloom.llm import ngram_join
 from logloom.llm.components import connected_components
-from logloom.llm.ngram_join import block_links, drop_similar, similar_texts
+from logloom.llm.ngram_join import Sets, Trie, chunk_components, drop_similar, similar_texts
 from logloom.llm.words import shingles, word_chunks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -20,23 +20,22 @@ def grams(text, size=5):
 
 
 def brute(rows, similarity=75):
-    """(id, set size, component, links) of each row, from all pairs."""
+    """(id, set size, component, rows with an equal set) of each row, from all pairs."""
     sets = [grams(t) for _, t in rows]
     component = list(range(len(rows)))
-    links = [0] * len(rows)
     for a in range(len(rows)):
         for b in range(len(rows)):
             if a != b and sets[a] and None not in (rows[a][0], rows[b][0]):
                 both = len(sets[a] & sets[b])
                 if 100 * both >= similarity * (len(sets[a]) + len(sets[b]) - both):
-                    links[a] += 1
                     old, new = component[b], component[a]
                     component = [new if c == old else c for c in component]
     least = {}
     for (i, _), c in zip(rows, component, strict=True):
         if i is not None:
             least[c] = min(least.get(c, i), i)
-    return sorted(((i, len(s), least.get(c) if i is not None else None, n) for (i, _), s, c, n in zip(rows, sets, component, links, strict=True)), key=str)
+    equal = Counter(s for (i, _), s in zip(rows, sets, strict=True) if i is not None and s)
+    return sorted(((i, len(s), least.get(c) if i is not None else None, equal[s] if i is not None and s else 1) for (i, _), s, c in zip(rows, sets, component, strict=True)), key=str)
 
 
 def near_copies(seed=0):
@@ -61,7 +60,7 @@ def near_copies(seed=0):
 
 
 def got(df):
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in similar_texts(df).collect()), key=str)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_equal"]) for r in similar_texts(df).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -70,13 +69,35 @@ def test_equals_all_pairs(docs, seed):
     assert got(docs(rows)) == brute(rows)
 
 
-def test_large_blocks_are_dealt_out(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+@pytest.mark.parametrize("size", [2, 5])
+def test_blocks_are_dealt_out(docs, monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", size)
     monkeypatch.setattr(ngram_join, "KNOWN_CLASSES", 2)
     rows = near_copies(5)
     assert got(docs(rows)) == brute(rows)
 
 
+def test_chains_and_rings_in_many_chunks(docs, monkeypatch):
+    """Texts linked only to the ones before and after them, which no set with many links brings together."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 3)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 40])) for k in range(60)] + [(100 + k, " ".join(words[300 + k : 340 + k])) for k in range(0, 40, 9)]
+    assert got(docs(rows)) == brute(rows)
+
+
+def test_a_large_group_of_near_copies(docs, monkeypatch):
+    """20,000 differing near copies: every chunk has few of them, and none is compared with all."""
+    r, n = random.Random(9), 20_000
+    base = [f"b{k}" for k in range(80)]
+    rows = [(k, " ".join(base[:40] + [f"u{k}"] + base[40:])) for k in range(n)] + [(n + k, " ".join(f"x{k}-{j}" for j in range(30))) for k in range(20)]
+    for k in range(0, n, 3):
+        t = rows[k][1].split()
+        t[r.randrange(len(t))] = r.choice(["p", "q"])
+        rows[k] = (k, " ".join(t))
+    out = {x["doc_id"]: x["component_id"] for x in similar_texts(docs(rows)).collect()}
+    assert all(out[k] == 0 for k in range(n)) and all(out[n + k] == n + k for k in range(20))
+
+
 def test_tasks_send_often(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "GATHERED", 300)
     rows = near_copies(7)
@@ -92,25 +113,44 @@ def test_edges(docs, clashing):
     assert kept.columns == clashing([]).columns and drop_similar(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(60))
-def test_block_equals_all_pairs(seed):
-    r = random.Random(seed)
-    m = r.randint(2, 25)
+def some_sets(r, m):
     base = r.sample(range(1000), 40)
     sets = [np.array(sorted(set(r.sample(base, r.randint(20, 40))) | set(r.sample(range(1000, 1100), r.randint(0, 3)))), np.int64) for _ in range(m)]
-    n, weight = np.array([len(s) + r.randint(0, 2) for s in sets]), np.array([r.randint(1, 4) for _ in sets])
-    root, links = block_links(list(range(m)), n, weight, sets, 75)
-    label = list(range(m))
-    for a in range(m):
-        want = 0
-        for b in range(m):
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if a != b and 100 * both >= 75 * (n[a] + n[b] - both):
-                want += weight[b]
-                old, new = label[b], label[a]
-                label = [new if x == old else x for x in label]
-        assert links[a] == want
-    assert all((root[a] == root[b]) == (label[a] == label[b]) for a in range(m) for b in range(m))
+    return Sets(list(range(m)), np.array([len(s) + r.randint(0, 2) for s in sets], np.int64), sets)
+
+
+def linked(a, b, i, j):
+    both = len(np.intersect1d(a.grams[i], b.grams[j]))
+    return 100 * both >= 75 * (a.n[i] + b.n[j] - both)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_trie_finds_all_pairs(seed):
+    r = random.Random(seed)
+    hosts = some_sets(r, r.randint(1, 25))
+    guests = some_sets(random.Random(seed + seed % 2), r.randint(1, 25))
+    for probes in (hosts, guests):
+        a, b = Trie(hosts).links(probes, 75)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for i in range(len(probes.n)) for j in range(len(hosts.n)) if linked(probes, hosts, i, j)]
+    root, hub = chunk_components(hosts, 75)
+    label = list(range(len(hosts.n)))
+    for i in label[:]:
+        for j in range(i):
+            if linked(hosts, hosts, i, j):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert root.tolist() == label and sorted(root[hub].tolist()) == sorted(set(label))
+
+
+def test_trie_cuts_subtrees_off(monkeypatch):
+    """A probe that can't reach the needed overlap below a node doesn't go down to its sets."""
+    base = np.arange(100)
+    sets = [np.concatenate([base[:10], 1000 * (g + 1) + np.arange(90), [100_000 + 10 * g + k]]) for g in range(5) for k in range(8)]
+    hosts = Sets(list(range(40)), np.full(40, 101), [np.sort(s) for s in sets])
+    steps = []
+    count = np.bincount
+    monkeypatch.setattr(ngram_join.np, "bincount", lambda *a, **k: steps.append(1) or count(*a, **k))
+    a, _ = Trie(hosts).links(Sets([0], np.array([101]), [hosts.grams[0]]), 75)
+    assert len(a) == 8 and len(steps) <= 1 + 1 + 5 + 8  # what the probe has, the root, five ways down, and only one group's sets
 
 
 def test_shingles_of_whole_texts():
