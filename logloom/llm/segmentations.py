@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .words import mix
 
 SAMPLES = 2
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 3 << 20
 BLANK = 0x2581  # what a model writes for a space
 LITERAL = 0x110000  # that character itself in a text: no piece has it, so it becomes bytes
 _KEY = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +139,7 @@ class Lattice:
         lengths.append(np.ones(len(other), np.int64))
         ids.append(np.full(len(other), -1))
         start, length, piece = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
-        order = np.lexsort((-length, start))
+        order = np.argsort(start * (pieces.longest + 1) - length)  # no two edges of a node are equally long
         self.start, self.length, self.piece = start[order], length[order], piece[order]
         self.char = np.where(chars == LITERAL, BLANK, chars)
         self.bytes = np.where(self.piece < 0, utf8_length(self.char[self.start]), 1)
@@ -150,8 +150,9 @@ class Lattice:
         left = ends - np.arange(n)
         to = self.start + self.length
         at_end = to == ends[self.start]
-        by_left = np.argsort(left[self.start], kind="stable")
-        cuts = np.searchsorted(left[self.start][by_left], np.arange(1, left.max(initial=0) + 2))
+        far = left[self.start]
+        by_left = np.argsort(far.astype(np.int16) if left.max(initial=0) < 1 << 15 else far, kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(far, minlength=left.max(initial=0) + 1)))[1:]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_left[a:b]
             value = weight[e] + np.where(at_end[e], 0.0, mass[np.minimum(to[e], n)])
@@ -236,8 +237,9 @@ class Sample:
             with np.errstate(divide="ignore"):
                 mass[at] = np.where(left, before[at] + np.log(np.maximum(1 - p, 1e-15)), -np.inf)
         place = np.arange(len(edges)) - np.repeat(offset[:-1], n)
-        u = uniform(mix(key + np.uint64(1000 + number))[text], place)
-        self.values = truncated(mass, np.repeat(gumbel, n), u)
+        self.values = np.full(len(edges), -np.inf)
+        some = np.flatnonzero(~np.isneginf(mass))
+        self.values[some] = truncated(mass[some], gumbel[text[some]], uniform(mix(key + np.uint64(1000 + number))[text[some]], place[some]))
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:
         """(value, place) of each text's best region."""
@@ -272,7 +274,9 @@ def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, samples: in
     power = np.multiply.accumulate(np.append(np.uint64(1), np.full(lengths.max(initial=0), _KEY)))
     place = at - np.repeat(starts, lengths)
     h = np.add.reduceat(mix(chars.astype(np.uint64) + np.uint64(1)) * power[place], starts) if len(starts) else np.zeros(0, np.uint64)
-    _, which, kind = np.unique(h, return_index=True, return_inverse=True)
+    numbered = pa.array(h).dictionary_encode()
+    kind, which = numbered.indices.to_numpy(), np.empty(len(numbered.dictionary), np.int64)
+    which[kind[::-1]] = np.arange(len(h) - 1, -1, -1)
     kind_len = lengths[which]
     kind_start = np.append(0, np.cumsum(kind_len))
     inside = np.repeat(starts[which] - kind_start[:-1], kind_len) + np.arange(kind_start[-1])
@@ -348,31 +352,41 @@ def _branch(found: list[Sample], going, owner, place, value, lattice: Lattice, n
         offset, edges, count = lattice.walk(start, walk_key[walks])
         walker = np.concatenate([np.flatnonzero(open_unit), np.repeat(np.arange(len(mine)), rest)])
         kept = place[mine]
-        owner_row = np.concatenate([np.repeat(np.arange(len(mine)), kept), np.arange(len(mine)), np.repeat(walker, count)])
-        kept_at = np.repeat(sample.offset[row] - np.append(0, np.cumsum(kept))[:-1], kept) + np.arange(kept.sum())
-        all_edges = np.concatenate([sample.edges[kept_at], edge, edges])
-        all_units = np.concatenate([sample.units[kept_at], unit, np.repeat(walks, count)])
-        order = np.argsort(owner_row, kind="stable")
-        parts.append((owner_row[order], all_edges[order], all_units[order], len(mine)))
+        # Each text's edges: those kept, the new one, and those of its walks in order.
+        more = np.bincount(walker, count, len(mine)).astype(np.int64)
+        begin = np.append(0, np.cumsum(kept + 1 + more))
+        kept_at, old_at = _runs(begin[:-1], kept), _runs(sample.offset[row], kept)
+        order = np.argsort(walker, kind="stable")
+        walk_at = np.empty(len(walks), np.int64)
+        walk_at[order] = np.cumsum(count[order]) - count[order]
+        walk_at += (begin[:-1] + kept + 1 - np.cumsum(more) + more)[walker]
+        all_edges, all_units = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
+        new_at = _runs(walk_at, count)
+        for out, old, one, new in ((all_edges, sample.edges, edge, edges), (all_units, sample.units, unit, np.repeat(walks, count))):
+            out[kept_at], out[begin[:-1] + kept], out[new_at] = old[old_at], one, new
+        parts.append((begin, all_edges, all_units))
         texts_of.append(mine)
         branch_of.append(kept)
         taken_of.append(taken)
-    base, rows, edges, units = 0, [], [], []
-    for r, e, un, n in parts:
-        rows.append(r + base)
-        edges.append(e)
-        units.append(un)
-        base += n
-    texts, row, edges, units = np.concatenate(texts_of), np.concatenate(rows), np.concatenate(edges), np.concatenate(units)
+    texts = np.concatenate(texts_of)
     by_text = np.argsort(texts)
-    rank = np.empty(len(texts), np.int64)
-    rank[by_text] = np.arange(len(texts))
-    order = np.argsort(rank[row], kind="stable")
-    offset = np.append(0, np.cumsum(np.bincount(rank[row], minlength=len(texts))))
+    size = np.concatenate([np.diff(begin) for begin, _, _ in parts])
+    offset = np.append(0, np.cumsum(size[by_text]))
+    at = np.empty(len(texts), np.int64)
+    at[by_text] = offset[:-1]
+    at = _runs(at, size)
+    edges, units = np.empty(offset[-1], np.int64), np.empty(offset[-1], np.int64)
+    edges[at], units[at] = np.concatenate([e for _, e, _ in parts]), np.concatenate([u for _, _, u in parts])
     texts = texts[by_text]
     width = max(t.shape[1] for t in taken_of)
     taken = np.concatenate([np.pad(t, ((0, 0), (0, width - t.shape[1])), constant_values=-1) for t in taken_of])
-    return Sample(texts, offset, edges[order], units[order], lattice, value[texts], keys[texts], number, np.concatenate(branch_of)[by_text], taken[by_text])
+    return Sample(texts, offset, edges, units, lattice, value[texts], keys[texts], number, np.concatenate(branch_of)[by_text], taken[by_text])
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _ids(sample: Sample, lattice: Lattice, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
