@@ -81,3 +81,41 @@ def test_terms_don_t_depend_on_the_chunk():
     for k, t in enumerate(texts):
         alone = [hashed_terms(w) for w in word_chunks(pa.array([t]), blank=NOT_ALNUM)][0]
         assert whole[1][whole[0] == k].tolist() == alone[1].tolist()
+
+
+def test_terms_that_tell_only_in_pairs(spark):
+    """Toxic is exactly one of two terms, which alone tell nothing."""
+    r = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = ["".join(r.choice("abcd") for _ in range(3)) for _ in range(4)] + ["qqx"] * a + ["zzy"] * b
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    out = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    truth = dict(labels)
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in out]) > 0.95
+
+
+def test_shards_learn_together(spark, labelled, monkeypatch):
+    df, labels, truth = labelled
+    monkeypatch.setattr("logloom.llm.toxicity.SHARD_ROWS", 120)
+    out = toxicity(df, labels).where("held_out").collect()
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in out]) > 0.95
+
+
+def test_scores_by_brute_force(labelled):
+    """Every score follows from the terms of the text one by one and pair by pair."""
+    df, labels, _ = labelled
+    model = train(df, labels)
+    number = {int(b): k for k, b in enumerate(model.buckets)}
+    rows = df.limit(40).collect()
+    want = {}
+    for r in rows:
+        (words,) = word_chunks(pa.array([r["text"]]), blank=NOT_ALNUM)
+        terms = sorted({number[int(b)] for b in hashed_terms(words)[1] if int(b) in number})
+        value = model.bias + sum(model.weights[t] for t in terms) + sum(model.factors[a] @ model.factors[b] for a in terms for b in terms if a < b)
+        want[r["doc_id"]] = 1 / (1 + np.exp(-value))
+    got = {r["doc_id"]: r["score"] for r in score(df.limit(40), model).collect()}
+    assert got == pytest.approx(want)
