@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import normal_csv_level
@@ -71,49 +72,84 @@ def layout(first: str, opts: ParseOptions) -> tuple[str, list[str], dict[str, in
     return mark, names, fields, header
 
 
-def csv_rows(lines: DataFrame, opts: ParseOptions) -> tuple[DataFrame, list[str], dict[str, int]]:
-    """`lines` with parse_status, error_message and _row, and the layout, which follows from the first line with text."""
-    texts = lines.where(trim(F.col("line")) != "")
-    first = texts.orderBy("file_name", "line_number").select("line_number", "line").first()
-    mark, names, fields, header = layout(first["line"] if first else "", opts)
-    schema = ", ".join(f"`c{i}` string" for i in range(max(1, len(names))))
-    row = F.from_csv("line", F.lit(schema), {"sep": mark, "quote": opts.csv_quote, "escape": opts.csv_quote, "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+ARROW_LAYOUT = pa.schema([("file_name", pa.string()), ("_first", pa.int64()), ("_mark", pa.string()), ("_names", pa.list_(pa.string())), ("_fields", pa.map_(pa.string(), pa.int32())), ("_header", pa.bool_())])
+LAYOUT = "file_name string, _first long, _mark string, _names array<string>, _fields map<string,int>, _header boolean"
+
+
+def file_layouts(lines: DataFrame, opts: ParseOptions) -> DataFrame:
+    """The layout of each file, which follows from its first line with text: a row for each file."""
+    first = lines.where(trim(F.col("line")) != "").groupBy("file_name").agg(F.min(F.struct("line_number", "line")).alias("first"))
+
+    def told(batches):
+        for b in batches:
+            rows = []
+            for name, number, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mark, names, fields, header = layout(line, opts)
+                rows.append({"file_name": name, "_first": number, "_mark": mark, "_names": names, "_fields": list(fields.items()), "_header": header})
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_LAYOUT)
+
+    return first.select("file_name", "first.line_number", "first.line").mapInArrow(told, LAYOUT)
+
+
+def csv_rows(lines: DataFrame, opts: ParseOptions) -> DataFrame:
+    """`lines` with parse_status, error_message, _row (an array of cells), and the _names and _fields of their file's layout."""
+    layouts = file_layouts(lines, opts)
+    # Two numbers and at most four marks for all files.
+    size = layouts.agg(F.coalesce(F.max(F.size("_names")), F.lit(1)).alias("width"), F.collect_set("_mark").alias("marks")).first()
+    width, marks = max(1, size["width"]), sorted(size["marks"]) or [","]
+    rows = lines.join(layouts, "file_name", "left")
+    schema = ", ".join(f"`c{i}` string" for i in range(width))
+    cells = F.lit(None).cast("array<string>")
+    for mark in marks:
+        row = F.from_csv("line", F.lit(schema), {"sep": mark, "quote": opts.csv_quote, "escape": opts.csv_quote, "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+        cells = F.when(F.col("_mark") == mark, row_array(row, width)).otherwise(cells)
     blank = F.col("line").isNull() | (trim(F.col("line")) == "")
-    quotes = F.length(F.regexp_replace("line", f"[^{opts.csv_quote}]", "")) % 2 == 1
-    is_head = F.lit(header) & (F.col("line_number") == F.lit(first["line_number"] if first else None))
-    status = F.when(blank | is_head, "SKIPPED").when(quotes, "FAILED").otherwise("SUCCESS")
-    error = F.when(blank, "Empty line").when(is_head, "Header row").when(quotes, "CSV parse error: open quote")
-    return lines.withColumns({"parse_status": status, "error_message": error, "_row": row}), names, fields
+    quotes = F.length("line") - F.length(F.replace("line", F.lit(opts.csv_quote), F.lit("")))
+    torn = quotes % 2 == 1
+    is_head = F.col("_header") & (F.col("line_number") == F.col("_first"))
+    status = F.when(blank | is_head, "SKIPPED").when(torn, "FAILED").otherwise("SUCCESS")
+    error = F.when(blank, "Empty line").when(is_head, "Header row").when(torn, "CSV parse error: open quote")
+    return rows.withColumns({"parse_status": status, "error_message": error, "_row": cells})
+
+
+def row_array(row: Column, width: int) -> Column:
+    """The cells of a struct c0, c1, ... as an array."""
+    return F.transform(F.array(row), lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))[0]
 
 
 def csv_status(lines: DataFrame, opts: ParseOptions) -> DataFrame:
-    return csv_rows(lines, opts)[0].select("file_name", "line_number", "line", "parse_status", "error_message")
+    return csv_rows(lines, opts).select("file_name", "line_number", "line", "parse_status", "error_message")
 
 
 def parse_csv(lines: DataFrame, opts: ParseOptions) -> DataFrame:
-    """Entries of the data rows.  Columns that no field took go to metadata; without a message column the other columns
-    but timestamp, level, logger and thread make the message."""
-    rows, names, fields = csv_rows(lines, opts)
-    cell = lambda i: F.col("_row")[f"c{i}"]
-    value = lambda f: filled(trim(filled(cell(fields[f])))) if f in fields else F.lit(None).cast("string")
-    level = F.coalesce(normal_csv_level(value("level")), F.lit("INFO"))
-    others = [i for i in range(len(names)) if i not in [fields.get(f) for f in ("timestamp", "level", "logger", "thread")]]
-    joined = F.concat_ws(" ", *[F.coalesce(cell(i), F.lit("")) for i in others]) if others else F.lit("")
-    spare = [F.when(filled(cell(i)).isNotNull(), F.struct(F.lit(n).alias("key"), cell(i).alias("value"))) for i, n in enumerate(names) if i not in fields.values()]
-    entries = F.filter(F.array(*spare), lambda e: e.isNotNull()) if spare else F.array().cast("array<struct<key:string,value:string>>")
-    stack = value("stack_trace")
-    rows = rows.where("parse_status = 'SUCCESS'").withColumns({"_time": value("timestamp"), "_entries": entries})
+    """Entries of the data rows, each by the layout of its file.  Columns that no field took go to metadata; without a
+    message column the other columns but timestamp, level, logger and thread make the message."""
+    rows = csv_rows(lines, opts).where("parse_status = 'SUCCESS'")
+    at = lambda f: F.try_element_at("_fields", F.lit(f))
+    value = lambda f: filled(trim(filled(F.get("_row", at(f)))))
+    rows = rows.withColumns({f"_v_{f}": value(f) for f in HEADERS})
+    told = {f: F.col(f"_v_{f}") for f in HEADERS}
+    level = F.coalesce(normal_csv_level(told["level"]), F.lit("INFO"))
+    numbered = F.transform("_names", lambda n, i: F.struct(n.alias("key"), F.get("_row", i).alias("value"), i.alias("i")))
+    taken = F.array(*[F.coalesce(at(f), F.lit(-1)) for f in ("timestamp", "level", "logger", "thread")])
+    joined = F.concat_ws(" ", F.transform(F.filter(numbered, lambda c: ~F.array_contains(taken, c["i"])), lambda c: F.coalesce(c["value"], F.lit(""))))
+    spare = F.filter(numbered, lambda c: filled(c["value"]).isNotNull() & ~F.array_contains(F.map_values("_fields"), c["i"]))
+    # Most layouts name all columns that matter, so the lists of the others are made only where there are others.
+    others = F.size("_names") > F.size(F.array_distinct(F.map_values("_fields")))
+    entries = F.when(others, F.transform(spare, lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    stack = told["stack_trace"]
+    rows = rows.withColumns({"_time": told["timestamp"], "_entries": entries})
     return finish(
         rows.withColumns(
             {
                 "_stamp": csv_time(F.col("_time"), checked_pattern(lines.sparkSession, opts.timestamp_format), opts.year),
                 "level": level,
-                "message": F.coalesce(value("message"), joined),
-                "logger": value("logger"),
-                "thread": value("thread"),
-                "hostname": value("hostname"),
-                "application": value("application"),
-                "environment": value("environment"),
+                "message": F.coalesce(told["message"], joined),
+                "logger": told["logger"],
+                "thread": told["thread"],
+                "hostname": told["hostname"],
+                "application": told["application"],
+                "environment": told["environment"],
                 "stack_trace": stack,
                 "has_stack_trace": F.when(stack.isNotNull(), F.lit(True)),
                 "has_error": level == "ERROR",

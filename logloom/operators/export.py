@@ -6,6 +6,7 @@ import csv
 import io
 import json
 from collections.abc import Iterator
+from textwrap import indent
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,4 +59,8 @@ def export_lines(entries: DataFrame, opts: ExportOptions) -> Iterator[str]:
     if kind == "ndjson":
         yield from (o + "\n" for o in objects)
     else:
-        yield json.dumps([json.loads(o) for o in objects], indent=2)
+        before = "["
+        for o in objects:
+            yield before + "\n" + indent(json.dumps(json.loads(o), indent=2), "  ")
+            before = ","
+        yield "[]" if before == "[" else "\n]"

@@ -48,10 +48,9 @@ def parse_json(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     """Entries of the lines that parse; an array gives one without fields.  Keys that no field took go to metadata."""
     rows = json_lines(lines).where("parse_status = 'SUCCESS'")
     level, stack, logger = normal_level(field("level")), field("stack_trace"), field("logger")
-    names = sorted({k for keys in KEYS.values() for k in keys} | {"tags"})
-    lower = sorted({n.lower() for n in names})
-    # A key that only differs in case from a field's is kept, since no field takes it.
-    spare = F.map_filter("_map", lambda k, v: v.isNotNull() & ~(F.lower(k).isin(*lower) & k.isin(*names)))
+    lower = sorted({k.lower() for keys in KEYS.values() for k in keys} | {"tags"})
+    # A key that only differs in case from a field's goes nowhere: no field takes it, and metadata looks at no case.
+    spare = F.map_filter("_map", lambda k, v: v.isNotNull() & ~F.lower(k).isin(*lower))
     tags = F.from_json(F.try_element_at("_map", F.lit("tags")), "array<string>")
     metadata = F.when(tags.isNull() & F.try_element_at("_map", F.lit("tags")).isNotNull(), F.map_concat(spare, F.create_map(F.lit("tags"), F.try_element_at("_map", F.lit("tags"))))).otherwise(spare)
     has_error = F.coalesce(F.when(level.isNotNull(), level == "ERROR"), F.when(stack.isNotNull(), F.lit(True)))

@@ -18,12 +18,20 @@ BOUNDARIES = ("B", "E", "I", "M")
 
 
 def assign_heads(lines: DataFrame) -> DataFrame:
-    """`lines` (file_name, line_number, class, ...) with head_line, the line of the entry that each belongs to."""
-    lines = lines.withColumn("_block", F.floor(F.col("line_number") / BLOCK_LINES))
+    """`lines` (file_name, line_number, class, ...) with head_line, the line of the entry that each belongs to.
+
+    The lines are dealt out by block once, and both the blocks' last boundaries and the lines' own follow from that
+    exchange.  It is the same for both, and so made once, only if both need the same columns, hence `_all`, and the same
+    rows, hence a block that is never null.
+    """
+    lines = lines.withColumn("_block", F.coalesce(F.floor(F.col("line_number") / BLOCK_LINES), F.lit(-1))).repartition("file_name", "_block")
+    everything = F.xxhash64(*lines.columns).alias("_all")
     mark = F.when(F.col("class").isin(*BOUNDARIES), F.struct(F.col("line_number").alias("at"), F.col("class").alias("class")))
     inside = Window.partitionBy("file_name", "_block").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("file_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file_name", "_block").agg(F.max(mark).alias("_mark"))
+    last = F.when(F.col("class").isin(*BOUNDARIES), F.struct(F.col("line_number").alias("at"), F.col("class").alias("class"), everything))
+    blocks = lines.groupBy("file_name", "_block").agg(F.max(last).alias("_last"))
+    blocks = blocks.select("file_name", "_block", F.when(F.col("_last").isNotNull() & F.col("_last._all").isNotNull(), F.struct("_last.at", "_last.class")).alias("_mark"))
     blocks = blocks.select("file_name", "_block", F.last("_mark", ignorenulls=True).over(ahead).alias("_carried"))
     lines = lines.withColumn("_own", F.last(mark, ignorenulls=True).over(inside)).join(blocks, ["file_name", "_block"])
     last = F.coalesce("_own", "_carried")

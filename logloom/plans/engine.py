@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FileTooLargeError, InvalidQueryError
-from ..operators.aggregates import errors_per_logger, facets, job_statistics, line_accounting, summary, top_error_messages, top_values
-from ..operators.csvlog import csv_status
+from ..operators.aggregates import errors_per_logger, facets, job_statistics, summary, top_error_messages, top_values
+from ..functions.texts import trim
+from ..operators.csvlog import csv_status, file_layouts
 from ..operators.export import export_lines, write_export
 from ..operators.filters import apply_filters
 from ..operators.highlight import highlights
@@ -63,7 +64,7 @@ class LogEngine:
             lines = read_lines(self.spark, path)
             entries = parser.parse(lines, opts)
             entries.write.mode("append").partitionBy("job_id").parquet(f"{self.store}/entries")
-            counts = line_accounting(self.status_of(parser.format, lines, opts)).first()
+            counts = self.accounting(parser.format, lines, opts)
         except Exception as e:
             self.jobs.save(job, status=FAILED, error=str(e)[:2000], completed_at=datetime.now(timezone.utc).replace(tzinfo=None))
             raise
@@ -71,6 +72,17 @@ class LogEngine:
         total = counts["total_lines"]
         return self.jobs.save(job, status=COMPLETED, progress=100, completed_at=datetime.now(timezone.utc).replace(tzinfo=None), total_lines=total, processed_lines=total, successful_lines=counts["successful_lines"], failed_lines=counts["failed_lines"], processing_time_ms=ms, lines_per_second=lines_per_second(total, ms))
 
+    def accounting(self, kind: str, lines: DataFrame, opts: ParseOptions) -> dict[str, int]:
+        """What became of a job's lines, without parsing them again: a line with text that isn't a header and made no
+        entry failed or, in text, continues the entry before it."""
+        blank = F.col("line").isNull() | (trim(F.col("line")) == "")
+        seen = lines.agg(F.count("*").alias("total"), F.count_if(blank).alias("blank")).first()
+        made = self.entries(opts.job_id).count()
+        headers = file_layouts(lines, opts).where("_header").count() if kind == "CSV" else 0
+        rest = seen["total"] - seen["blank"] - headers - made
+        text = kind not in ("JSON", "CSV")
+        return {"total_lines": seen["total"], "successful_lines": made, "skipped_lines": seen["blank"] + headers, "failed_lines": 0 if text else rest, "continuation_lines": rest if text else 0}
+
     def status_of(self, kind: str, lines: DataFrame, opts: ParseOptions) -> DataFrame:
         """What became of each line; of formats that aren't built in, every line succeeded."""
         if kind == "TEXT":

@@ -6,7 +6,10 @@ whole table; limits are those of pages and top lists.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +19,7 @@ from .functions.metadata import address, as_metadata, line_entries, link, reques
 from .functions.texts import tokens
 from .operators.aggregates import errors_per_logger, facets, job_statistics, line_accounting, summary, top_error_messages, top_values
 from .operators.csvlog import parse_csv
-from .operators.export import export_rows
+from .operators.export import export_rows, write_export
 from .operators.filters import apply_filters
 from .operators.fulltext import edits, query_words, swaps
 from .operators.highlight import highlights
@@ -26,6 +29,8 @@ from .operators.page import context_query, page_of, project
 from .operators.textlog import line_status, match_lines, parse_text
 from .operators.timeline import envelope, timeline, timeline_levels
 from .options import ExportOptions, LogQuery, ParseOptions
+from .plans.engine import LogEngine
+from .sources.detect import Registry, sample_text
 from .sources.events import as_lines, events_as_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +168,16 @@ SELECT bucket_start, coalesce(n, 0) AS count, coalesce(e, 0) AS error_count, coa
 
 for _every in ("1m", "5m", "15m", "30m", "1h", "1d", "1w", "1M"):
     register("timeline_month" if _every == "1M" else f"timeline_{_every}", lambda s, d, e=_every: timeline(logs(s, d), e), _timeline_sql(_every))
+register(
+    "timeline_1s",
+    lambda s, d: timeline(logs(s, d), "1s").groupBy(F.date_trunc("HOUR", "bucket_start").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("buckets"), F.sum("count").alias("count"), F.sum("error_count").alias("error_count"), F.max("count").alias("most")),
+    "SELECT date_trunc('hour', bucket_start)::TIMESTAMP AS hour, count(*) AS buckets, sum(count)::BIGINT AS count, sum(error_count)::BIGINT AS error_count, max(count) AS most FROM (" + _timeline_sql("1s").replace(", c AS", "WITH c AS", 1) + ") GROUP BY 1",
+)
+register(
+    "timeline_outlier",
+    lambda s, d: envelope(timeline(logs(s, d).withColumn("timestamp", F.when(F.col("line_number") == 1, F.lit("3024-01-01 00:00:30").cast("timestamp_ntz")).otherwise(F.col("timestamp"))), "15m")),
+    "SELECT min(time_bucket(INTERVAL 15 MINUTE, t)) AS start_time, max(time_bucket(INTERVAL 15 MINUTE, t)) AS end_time, count(*)::BIGINT AS total_count FROM (SELECT CASE WHEN line_number = 1 THEN TIMESTAMP '3024-01-01 00:00:30' ELSE timestamp END AS t FROM lines)",
+)
 register("timeline_levels", lambda s, d: timeline_levels(logs(s, d), "1d"), "SELECT date_trunc('day', timestamp)::TIMESTAMP AS bucket_start, level, count(*) AS count FROM lines GROUP BY ALL")
 register("timeline_envelope", lambda s, d: envelope(timeline(logs(s, d), "1h")), "SELECT min(date_trunc('hour', timestamp))::TIMESTAMP AS start_time, max(date_trunc('hour', timestamp))::TIMESTAMP AS end_time, count(*)::BIGINT AS total_count FROM lines")
 
@@ -243,6 +258,108 @@ def _parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("parse_csv", _parse_csv, "SELECT line_number, timestamp, level, message, logger, thread, NULL::VARCHAR AS source, level = 'ERROR' AS has_error, line_number::VARCHAR AS seq FROM lines")
 
 
+def _parse_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files, by the users' numbers: one with a header, one with another order of columns and delimiter, one without header."""
+    e = logs(spark, sf_dir).join(events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_number"), "user_id"), "line_number")
+    at, kind = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"), F.col("user_id") % 3
+    line = F.when(kind == 0, F.concat_ws(",", at, "level", "source", "thread")).when(kind == 1, F.concat_ws(";", "source", "thread", at, "level")).otherwise(F.concat_ws("\t", at, "level", "source", F.lit("7")))
+    rows = e.select(F.concat(F.lit("f"), kind).alias("file_name"), (F.col("line_number") + 1).alias("line_number"), line.alias("line"))
+    heads = spark.createDataFrame([("f0", 1, "ts,severity,msg,thread"), ("f1", 1, "description;shelf;time;priority")], rows.schema)
+    found = parse_csv(heads.unionByName(rows), replace(OPTS, file_name=None))
+    return found.select("file_name", (F.col("line_number") - 1).alias("line_number"), "timestamp", "level", "message", "thread", F.try_element_at("metadata", F.lit("shelf")).alias("shelf"), F.try_element_at("metadata", F.lit("column_3")).alias("spare"))
+
+
+register(
+    "parse_csv_files",
+    _parse_csv_files,
+    """SELECT 'f' || (user_id % 3) AS file_name, line_number, timestamp, level, source AS message, CASE WHEN user_id % 3 = 0 THEN thread END AS thread, CASE WHEN user_id % 3 = 1 THEN thread END AS shelf,
+    CASE WHEN user_id % 3 = 2 THEN '7' END AS spare FROM lines""",
+)
+register(
+    "json_metadata_case",
+    lambda s, d: parse_json(event_lines(s, d, F.to_json(F.struct(F.col("level").alias("LEVEL"), F.col("source").alias("Msg"), F.col("thread").alias("Shelf"), F.col("line_number").alias("seq")))), OPTS).select("line_number", "level", "message", F.element_at("metadata", "Shelf").alias("shelf"), F.size("metadata").alias("kept")),
+    "SELECT line_number, NULL::VARCHAR AS level, NULL::VARCHAR AS message, thread AS shelf, 2 AS kept FROM lines",
+)
+
+# ---------------------------------------------------------------- files
+
+
+def fresh_folder(spark: SparkSession, name: str, suffix: str = "") -> str:
+    """A folder that isn't there yet, under the one that all machines share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="logloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}{suffix}"
+
+
+def log_files(spark: SparkSession, sf_dir: str, line: Column, suffix: str, head: str | None = None) -> str:
+    """Events as log files under the folder that the cluster shares, four of them, by the users' numbers; the folder."""
+    path = fresh_folder(spark, "logs", suffix)
+    e = logs(spark, sf_dir).join(events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_number"), "user_id"), "line_number")
+    rows = e.select((F.col("user_id") % 4).alias("part"), "line_number", line.alias("value"))
+    if head:
+        rows = rows.unionByName(spark.range(4).select(F.col("id").alias("part"), F.lit(0).cast("long").alias("line_number"), F.lit(head).alias("value")))
+    rows.repartition(4, "part").sortWithinPartitions("part", "line_number").drop("line_number").write.partitionBy("part").text(path)
+    return path
+
+
+def _ingested(spark: SparkSession, path: str) -> tuple[LogEngine, str]:
+    engine = LogEngine(spark, f"{path.rpartition('/')[0]}/store-{uuid.uuid4().hex}")
+    return engine, engine.ingest(path, options=replace(OPTS, file_name=None)).job_id
+
+
+def _entries_of(spark: SparkSession, path: str) -> DataFrame:
+    engine, job = _ingested(spark, path)
+    part = F.regexp_extract("file_name", r"part=(\d)", 1).cast("long").alias("part")
+    return engine.entries(job).select(part, "line_number", "timestamp", "level", "message", "logger", "thread")
+
+
+NUMBERED = ", numbered AS (SELECT *, user_id % 4 AS part, row_number() OVER (PARTITION BY user_id % 4 ORDER BY line_number) AS n FROM lines)"
+register("ingest_text", lambda s, d: _entries_of(s, log_files(s, d, F.col("raw_line"), ".log")), NUMBERED + " SELECT part, n AS line_number, timestamp, level, trim(message) AS message, logger, thread FROM numbered")
+register("ingest_json", lambda s, d: _entries_of(s, log_files(s, d, _json_line(), ".json")), NUMBERED + " SELECT part, n AS line_number, timestamp, level, message, logger, thread FROM numbered")
+register(
+    "ingest_csv",
+    lambda s, d: _entries_of(s, log_files(s, d, F.concat_ws(",", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"), "level", "source", "logger", "thread"), ".csv", "time,level,msg,logger,thread")),
+    NUMBERED + " SELECT part, n + 1 AS line_number, timestamp, level, source AS message, logger, thread FROM numbered",
+)
+
+
+def _job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that a job of CSV files has, of which some lines are torn and some blank."""
+    line = F.when(F.col("level") == "WARN", F.lit('2024-01-01,"open')).when(F.col("level") == "DEBUG", F.lit(" ")).otherwise(F.concat_ws(",", F.lit("2024-01-01 00:00:00"), "level"))
+    engine, job_id = _ingested(spark, log_files(spark, sf_dir, line, ".csv", "time,level"))
+    job = engine.job_status(job_id)
+    return spark.createDataFrame([(job.status, job.total_lines, job.successful_lines, job.failed_lines)], "status string, total_lines long, successful_lines long, failed_lines long")
+
+
+register("ingest_accounting", _job_counts, "SELECT 'COMPLETED' AS status, count(*) + 4 AS total_lines, count(*) FILTER (level NOT IN ('WARN', 'DEBUG')) AS successful_lines, count(*) FILTER (level = 'WARN') AS failed_lines FROM lines")
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of files by a sample of their lines, whatever they are called."""
+    kinds = {"text": F.col("raw_line"), "json": _json_line(), "csv": F.concat_ws(",", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "level", "source", "logger", "thread")}
+    found = []
+    for name, line in kinds.items():
+        path = log_files(spark, sf_dir, line, ".data")
+        found.append((name, Registry().detect(path, sample_text(spark, path)).format))
+    return spark.createDataFrame(found, "name string, format string")
+
+
+register("detect_formats", _detected, "SELECT * FROM (VALUES ('text', 'TEXT'), ('json', 'JSON'), ('csv', 'CSV')) AS t(name, format)")
+
+
+def _export_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export written as CSV files and read again."""
+    path = fresh_folder(spark, "export")
+    write_export(logs(spark, sf_dir), path, ExportOptions(fields=("lineNumber", "level", "message", "hasError")))
+    return spark.read.csv(path, header=True, quote='"', escape='"', schema="lineNumber string, level string, message string, hasError string").select("lineNumber", "level", "message", F.coalesce("hasError", F.lit("")).alias("hasError"))
+
+
+register("export_csv_file", _export_read, "SELECT line_number::VARCHAR AS \"lineNumber\", level, message, coalesce(has_error::VARCHAR, '') AS \"hasError\" FROM lines")
+
+
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines, five for each: errors tell of an exception and have a trace of two lines; others are one line.
     Every fifth line is blank where the user's number divides by 7, and else a loose one."""
