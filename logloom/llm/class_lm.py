@@ -2,13 +2,16 @@
 
 Words belong to classes; a token's probability is that of its class after the class
 before it, times that of the word in its class.  The classes come from exchange
-clustering: the `most_words` most frequent words, and groups of all the others by
-their last bytes and length, move one at a time to the class that gives the
-training bigrams the highest likelihood, until none moves.
-
-Counts are over all training texts.  The word counts grow with the corpus and stay
-distributed: only the `frequent` most frequent ones, a fixed number, are sent to
-every task, and rarer tokens find their counts by a join on the word.
+clustering: every word moves to the class that gives the training bigrams the highest
+likelihood.  The most frequent words (`CORE_WORDS`) move one at a time, until none
+does.  Then all words that tasks know (`FREQUENT`) move in distributed sweeps, each
+against the classes of the last one, until a sweep adds next to nothing (Uszkoreit and
+Brants, 2008, distribute the exchange alike).  Words still rarer move in groups, by
+their last bytes and length.
+
+Counts are over all training texts.  The word and bigram counts grow with the corpus
+and stay distributed: only the most frequent words, a fixed number, are sent to every
+task, and rarer tokens find their counts by a join on the word.
 """
 
 from __future__ import annotations
@@ -24,19 +27,21 @@ from pyspark.sql import types as T
 from .common import among_top, written
 from .words import Words, word_chunks
 
-#: Words that are clustered one by one, groups of the others, classes.
-MOST_WORDS = 800
+#: Words that are clustered one by one to begin with, groups of the rarest, classes.
+CORE_WORDS = 800
 GROUPS = 200
 CLASSES = 48
-#: Words whose counts every task holds: 16 bytes each.
+#: Words whose counts and classes every task holds: 17 bytes each.
 FREQUENT = 1 << 18
+#: A sweep that adds less than this share to the classes' mutual information is the last.
+LEAST_GAIN = 0.002
 END = 0  # the hash of the token that ends a text
 #: Share of the class-transition probability that comes from the class's own frequency.
 BACK_OFF = 0.05
 
 
 class Symbols(NamedTuple):
-    """What the classes are made over: symbol 0 is the end, then words, then groups of words."""
+    """What the classes are made over: symbol 0 is the end, then words, then groups of the other words."""
 
     words: np.ndarray  # sorted hashes
     groups: int
@@ -48,13 +53,17 @@ class Symbols(NamedTuple):
     def of(self, words: Words) -> np.ndarray:
         """The symbol of every word."""
         out = 1 + len(self.words) + word_groups(words, self.groups)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words.hashes), len(self.words) - 1)
-            known = self.words[at] == words.hashes
-            out[known] = 1 + at[known]
+        at, known = places(self.words, words.hashes)
+        out[known] = 1 + at[known]
         return out
 
 
+def places(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of `wanted` is among the sorted `values`, and whether it is there."""
+    at = np.minimum(np.searchsorted(values, wanted), max(len(values) - 1, 0))
+    return at, values[at] == wanted if len(values) else np.zeros(len(wanted), bool)
+
+
 def word_groups(words: Words, groups: int) -> np.ndarray:
     """The group of every word: by its last bytes and its length."""
     size = words.ends - words.starts
@@ -86,23 +95,112 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "word long, group int, n long").groupBy("word", "group").agg(F.sum("n").alias("n"))
 
 
-def symbol_bigrams(df: DataFrame, text_col: str, symbols: Symbols) -> np.ndarray:
-    """Counts of symbol pairs, a text beginning and ending with the end symbol."""
+def symbol_bigrams(df: DataFrame, text_col: str, symbols: Symbols) -> DataFrame:
+    """(pair, n): counts of symbol pairs (left * size + right), a text beginning and ending with the end symbol."""
     size, shared = symbols.size, df.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
         for b in batches:
             for w in word_chunks(b.column(0), 1 << 22):
                 left, right = with_ends(shared.value.of(w), w.bounds)
-                total += np.bincount(left * size + right, minlength=size * size)
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+                pair, n = np.unique(left * size + right, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+    return df.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def class_table(bigrams: DataFrame, size: int, classes: np.ndarray, kinds: int) -> np.ndarray:
+    """Counts of pairs of classes, from those of symbols; a task sends one table's entries."""
+    shared = bigrams.sparkSession.sparkContext.broadcast(classes.astype(np.int32))
+
+    def run(batches):
+        total, of = np.zeros(kinds * kinds), shared.value
+        for b in batches:
+            pair, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            total += np.bincount(of[pair // size] * kinds + of[pair % size], n, kinds * kinds)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    rows = bigrams.select("pair", "n").mapInArrow(run, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(kinds * kinds)
+    out[[r["pair"] for r in rows]] = [r["n"] for r in rows]
+    return out.reshape(kinds, kinds)
+
+
+def information(table: np.ndarray) -> float:
+    """The mutual information of a class and the next."""
+    total = max(table.sum(), 1.0)
+    return float((entropy(table).sum() - entropy(table.sum(0)).sum() - entropy(table.sum(1)).sum()) / total + np.log(total))
 
-    rows = df.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size, np.int64)
-    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(size, size)
+
+def entropy(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def sweep(bigrams: DataFrame, size: int, classes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Every symbol's best class, given the classes of all others as they are.
+
+    A symbol's counts before and after each class come from a sum by symbol and class with map-side combining; at most
+    two classes' number of rows for each symbol that tasks know.  The driver gets the symbols that move.
+    """
+    kinds = len(table)
+    shared = bigrams.sparkSession.sparkContext.broadcast((classes.astype(np.int32), table))
+
+    def beside(batches):
+        of, _ = shared.value
+        for b in batches:
+            pair, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            left, right = pair // size, pair % size
+            key = np.concatenate([left * 2 * kinds + of[right], right * 2 * kinds + kinds + of[left]])
+            key, place = np.unique(key, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // (2 * kinds)), pa.array((key % (2 * kinds)).astype(np.int32)), pa.array(np.bincount(place, np.concatenate([n, n])))], names=["symbol", "slot", "n"])
+
+    def choose(batches):
+        of, t = shared.value
+        for b in batches:
+            symbol = b.column(0).to_numpy()
+            lists = b.column(1)
+            owner = np.repeat(np.arange(len(symbol)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            slot, n = flat.field("slot").to_numpy(), flat.field("n").to_numpy()
+            own = of[symbol]
+            gain = np.zeros((len(symbol), kinds))
+            for side in (0, 1):
+                here = slot // kinds == side
+                who, other, count = owner[here], slot[here] % kinds, n[here]
+                # Counts between each class and the others, without this symbol's where it is now.
+                counts = (t if side == 0 else t.T)[:, other].T.copy()
+                counts[np.arange(len(who)), own[who]] -= count
+                more = entropy(np.maximum(counts, 0) + count[:, None]) - entropy(np.maximum(counts, 0))
+                np.add.at(gain, who, more)
+                total = np.bincount(who, count, len(symbol))
+                sums = np.repeat(t.sum(1 - side)[None], len(symbol), 0)
+                sums[np.arange(len(symbol)), own] -= total
+                gain -= entropy(np.maximum(sums, 0) + total[:, None]) - entropy(np.maximum(sums, 0))
+            gain[:, 0] = -np.inf  # the end's
+            best = gain.argmax(1)
+            moves = (symbol > 0) & (gain[np.arange(len(symbol)), best] > gain[np.arange(len(symbol)), own] + 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(symbol[moves]), pa.array(best[moves].astype(np.int32))], names=["symbol", "class"])
+
+    counts = bigrams.select("pair", "n").mapInArrow(beside, "symbol long, slot int, n double").groupBy("symbol", "slot").agg(F.sum("n").alias("n"))
+    moved = counts.groupBy("symbol").agg(F.collect_list(F.struct("slot", "n")).alias("counts")).mapInArrow(choose, "symbol long, class int").toArrow()
+    out = classes.copy()
+    out[moved["symbol"].to_numpy()] = moved["class"].to_numpy()
+    return out
+
+
+def swept_classes(bigrams: DataFrame, size: int, classes: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, their table) after sweeps, as long as these add to the mutual information."""
+    table = class_table(bigrams, size, classes, kinds)
+    while True:
+        new = sweep(bigrams, size, classes, table)
+        new_table = class_table(bigrams, size, new, kinds)
+        before, after = information(table), information(new_table)
+        if after <= before:
+            return classes, table
+        classes, table = new, new_table
+        if after < before * (1 + LEAST_GAIN):
+            return classes, table
 
 
 def with_ends(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +212,9 @@ def with_ends(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return line[:-1], line[1:]
 
 
-def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
-    """The class of every symbol; the end has class 0 to itself.  Words start dealt by frequency."""
+def exchange_classes(bigrams: np.ndarray, classes: int) -> np.ndarray:
+    """The class of every symbol, by moves one at a time until none raises the likelihood; the end has class 0 to
+    itself.  Words start dealt by frequency."""
     size = len(bigrams)
     freq = bigrams.sum(0) + bigrams.sum(1)
     cls = np.zeros(size, np.int64)
@@ -125,15 +224,13 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.n
     cls[order] = 1 + np.arange(size - 1) % (classes - 1)
     counts = bigrams.astype(float)
 
-    def entropy(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
     member = np.zeros((size, classes))
     member[np.arange(size), cls] = 1
     after, before = counts @ member, member.T @ counts  # (symbol, class), (class, symbol)
     table = member.T @ after
     left, right = counts.sum(1), counts.sum(0)
-    for _ in range(sweeps):
+    least, moved = 1e-9 * max(1.0, float(entropy(counts.sum()))), 1  # well over what rounding makes of equal gains
+    while moved:
         moved = 0
         for w in order:
             if not left[w] and not right[w]:
@@ -146,7 +243,8 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.n
             base[a] -= out
             base[:, a] -= into
             base[a, a] -= own
-            rows, columns = base.sum(1), base.sum(0)
+            # All tokens before and after w stay in their rows and columns, whatever its class.
+            rows, columns = base.sum(1) + into, base.sum(0) + out
             # The gain of adding w to class k to the tables without it.
             gain = (entropy(base + out) - entropy(base)).sum(1) + (entropy(base.T + into) - entropy(base.T)).sum(1)
             diagonal = np.diag(base)
@@ -154,7 +252,7 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.n
             gain -= entropy(rows + left[w]) - entropy(rows) + entropy(columns + right[w]) - entropy(columns)
             gain[0] = -np.inf
             k = int(np.argmax(gain))
-            if k != a and gain[k] > gain[a] + 1e-9:
+            if k != a and gain[k] > gain[a] + least:
                 cls[w] = k
                 moved += 1
                 after[:, a] -= counts[:, w]
@@ -165,18 +263,15 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.n
                 table[k] += out
                 table[:, k] += into
                 table[k, k] += own
-        if not moved:
-            break
     return cls
 
 
 class Model(NamedTuple):
-    symbols: Symbols
+    symbols: Symbols  # its words are the frequent ones
     classes: np.ndarray  # of symbols
     transition: np.ndarray  # log10 P(class | class before)
     emission: np.ndarray  # -log10 of the class's token and type counts: log10(c + 1) is added per token
-    words: np.ndarray  # sorted hashes of frequent words
-    counts: np.ndarray
+    counts: np.ndarray  # of the frequent words
     tokens: int
     types: int
 
@@ -186,40 +281,39 @@ def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2):
 
 
 def train(df: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of word counts (word, n), which is written to the shared folder."""
+    """The model and the table (word, n) of the words that it doesn't hold, which is written to the shared folder."""
     counts = written(count_words(df, text_col), "word-counts")
     texts, (tokens, types) = df.count(), counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    word, group, n = frequent_words(counts)
-    symbols = Symbols(np.sort(word[:MOST_WORDS]), GROUPS)
-    order = np.argsort(word)
-    bigrams = symbol_bigrams(df, text_col, symbols)
-    classes = exchange_classes(bigrams, CLASSES)
-    member = np.zeros((symbols.size, CLASSES))
-    member[np.arange(symbols.size), classes] = 1
-    table = member.T @ bigrams @ member
-    return finish(symbols, classes, table, word[order], n[order], int(tokens) + texts, int(types) + (texts > 0), class_types(counts, group[:MOST_WORDS], symbols, classes)), counts
-
-
-def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, group, n) of all words with at least some count, the least that leaves at most `FREQUENT` of them;
-    most frequent first."""
-    top = counts.where(among_top(counts, "n", FREQUENT)).toArrow()
+    frequent = among_top(counts, "n", FREQUENT, "word")
+    top = counts.where(frequent).toArrow()
     word, group, n = (top[c].to_numpy() for c in ("word", "group", "n"))
-    order = np.lexsort((word, -n))
-    return word[order].view(np.uint64), group[order].astype(np.int64), n[order]
-
-
-def class_types(counts: DataFrame, top_groups: np.ndarray, symbols: Symbols, classes: np.ndarray) -> np.ndarray:
-    """How many different training words each class has: the clustered words, and the others by group."""
+    order = np.argsort(word.view(np.uint64))
+    word, group, n = word.view(np.uint64)[order], group[order].astype(np.int64), n[order]
+
+    # The core's words one at a time, with groups for all others.
+    core = np.sort(np.lexsort((word, -n))[:CORE_WORDS])
+    symbols, few = Symbols(word, GROUPS), Symbols(word[core], GROUPS)
+    bigrams = written(symbol_bigrams(df, text_col, symbols), "bigrams")
+    to_core = 1 + len(core) + np.concatenate([[0], group, np.arange(GROUPS)])
+    to_core[0] = 0
+    to_core[1 + core] = 1 + np.arange(len(core))
+    start = exchange_classes(class_table(bigrams, symbols.size, to_core, few.size), CLASSES)
+    # Then all of them, from the class of their group on.
+    classes, table = swept_classes(bigrams, symbols.size, start[to_core], CLASSES)
+    return finish(symbols, classes, table, n, int(tokens) + texts, int(types) + (texts > 0), class_types(counts, group, symbols, classes)), counts.where(~frequent)
+
+
+def class_types(counts: DataFrame, known_groups: np.ndarray, symbols: Symbols, classes: np.ndarray) -> np.ndarray:
+    """How many different training words each class has: the words of the symbols, and the others by group."""
     others = np.zeros(symbols.groups, np.int64)
     for r in counts.groupBy("group").count().collect():  # a row for each group
         others[r["group"]] = r["count"]
-    others -= np.bincount(top_groups, minlength=symbols.groups)
+    others -= np.bincount(known_groups, minlength=symbols.groups)
     n = len(symbols.words)
     return np.bincount(classes[1 : n + 1], minlength=CLASSES) + np.bincount(classes[n + 1 :], others, CLASSES)
 
 
-def finish(symbols: Symbols, classes: np.ndarray, table: np.ndarray, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, types_of: np.ndarray) -> Model:
+def finish(symbols: Symbols, classes: np.ndarray, table: np.ndarray, counts: np.ndarray, tokens: int, types: int, types_of: np.ndarray) -> Model:
     """Smoothed probabilities: add-one transitions backed off to the classes' own frequency, add-one emissions
     with one place in each class for words never seen."""
     to = table.sum(0)
@@ -229,11 +323,11 @@ def finish(symbols: Symbols, classes: np.ndarray, table: np.ndarray, words: np.n
     types_of = types_of.copy()
     types_of[0] = 1
     emission = -np.log10(to + types_of + 1)
-    return Model(symbols, classes, np.log10(transition), emission, words, counts, tokens, types)
+    return Model(symbols, classes, np.log10(transition), emission, counts, tokens, types)
 
 
 def score(df: DataFrame, model: Model, counts: DataFrame, end_count: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `df`: id, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row of `df`: id, n_tokens, n_known, train_tokens, base_score, score; `counts` has the words not in the model."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "known")] + [T.StructField(c, T.DoubleType()) for c in ("logs", "classes")] + [T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
 
@@ -247,8 +341,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, end_count: int, id_col
                 owner = np.repeat(np.arange(n), per + 1)
                 value = m.transition[left, right] + m.emission[right]
                 classes = np.bincount(owner, value, n)
-                at = np.minimum(np.searchsorted(m.words, w.hashes), max(len(m.words) - 1, 0))
-                frequent = m.words[at] == w.hashes if len(m.words) else np.zeros(len(text), bool)
+                at, frequent = places(m.symbols.words, w.hashes)
                 logs = np.bincount(text[frequent], np.log10(m.counts[at[frequent]] + 1.0), n)
                 known = np.bincount(text[frequent], minlength=n)
                 # The others, each once for a text.
@@ -267,8 +360,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, end_count: int, id_col
     found = written(df.select(id_col, text_col).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored-texts")
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     # Words whose counts every task holds are not looked up, and no other word is in many rows.
-    others = counts.where(F.col("n") < int(model.counts.min())) if len(model.counts) else counts
-    seen = rare.join(others, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    seen = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     all_rows = found.drop("rare", "times").join(seen, "row", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base_each = float(np.log10(model.tokens + model.types + 1.0))

@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = f"file://{tempfile.mkdtemp(prefix='logloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -47,18 +49,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def among_top(df: DataFrame, count: str, most: int) -> Column:
-    """A condition that holds for all rows with at least some count, the least that leaves at most `most` of them.
+def among_top(df: DataFrame, count: str, most: int, key: str) -> Column:
+    """A condition that holds for about the `most` rows with the largest counts, and never for more.
 
     The counts are looked at by sixteenths of a power of two, some hundred rows whatever the table's size, so unlike a
-    sort with a limit this sends next to nothing to the driver.
+    sort with a limit this sends next to nothing to the driver.  Of the last step that has some of these rows, those
+    are taken whose keys hash lowest.
     """
     step = F.floor(F.log2(count) * 16)
-    steps = df.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(count).alias("least")).orderBy(F.desc("step")).collect()
-    least, total = None, 0
+    steps = df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect()
+    total, whole, part, share = 0, None, None, 0.0
     for r in steps:
-        total += r["rows"]
-        if total > most:
+        if total + r["rows"] > most:
+            part, share = r["step"], 0.98 * (most - total) / r["rows"]
             break
-        least = r["least"]
-    return F.lit(False) if least is None else F.col(count) >= least
+        total += r["rows"]
+        whole = r["step"]
+    above = F.lit(False) if whole is None else step >= whole
+    if part is None:
+        return above
+    return above | ((step == part) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))

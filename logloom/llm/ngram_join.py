@@ -147,7 +147,7 @@ def first_grams(df: DataFrame, id_col: str, text_col: str, size: int, similarity
 def possible(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, similarity: int) -> DataFrame:
     """(doc, n): the first rows of the classes whose sets may have a partner."""
     several = classes.where("copies > 1")
-    top = several.where(among_top(several, "copies", KNOWN_CLASSES)).select("d1", "doc").collect()
+    top = several.where(among_top(several, "copies", KNOWN_CLASSES, "doc")).select("d1", "doc").collect()
     top.sort(key=lambda r: r["d1"] % (1 << 64))
     copies = df.sparkSession.sparkContext.broadcast((np.array([r["d1"] for r in top], np.int64).view(np.uint64), [r["doc"] for r in top]))
     rows = first_grams(df, id_col, text_col, size, similarity, copies)

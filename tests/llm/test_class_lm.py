@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def test_scores_don_t_depend_on_what_is_broadcast(docs, monkeypatch):
     got = []
     for frequent in (1 << 18, 25):
         monkeypatch.setattr(class_lm, "FREQUENT", frequent)
-        monkeypatch.setattr(class_lm, "MOST_WORDS", 10)
+        monkeypatch.setattr(class_lm, "CORE_WORDS", 10)
         got.append(sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in score_corpus(docs(rows)).collect()), key=key))
     for a, b in zip(*got, strict=True):
         assert a[2] == pytest.approx(b[2], rel=1e-9)
@@ -64,12 +65,13 @@ def test_probabilities_sum_to_one(docs, monkeypatch):
     model, counts = class_lm.train(docs(rows))
     assert np.allclose((10.0**model.transition).sum(1), 1)
     # In each class its words, and one place for those never seen.
-    of = {r["word"]: r["n"] for r in counts.collect()}
+    assert counts.count() == 0
+    of = dict(zip(model.symbols.words.tolist(), model.counts.tolist(), strict=True))
     total = np.zeros(class_lm.CLASSES)
     types = np.zeros(class_lm.CLASSES)
     for k, h in enumerate(model.symbols.words):
         c = model.classes[1 + k]
-        total[c] += (of[int(np.int64(h.view(np.int64)))] + 1) * 10 ** model.emission[c]
+        total[c] += (of[int(h)] + 1) * 10 ** model.emission[c]
         types[c] += 1
     used = types > 0
     assert np.allclose(total[used] + 10 ** model.emission[used], 1)
@@ -100,3 +102,55 @@ def test_edges(docs):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = score_corpus(docs([(only, "a b")])).first()  # nothing to learn from
     assert (row["held_out"], row["n_known"], row["train_tokens"], row["base_score"]) == (True, 0, 0, 0.0)
+
+
+def test_words_beyond_the_core_are_clustered(docs, monkeypatch):
+    """Two kinds of words that alternate, spelt alike: only their neighbours tell them apart."""
+    monkeypatch.setattr(class_lm, "CORE_WORDS", 8)
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    r = random.Random(4)
+    spell = lambda k: "w" + "".join("abcdefghij"[int(d)] for d in f"{k:02d}") + "zz"
+    a, b = [spell(k) for k in range(0, 80, 2)], [spell(k) for k in range(1, 80, 2)]
+    model, _ = class_lm.train(docs([(i, " ".join(w for _ in range(30) for w in (r.choice(a), r.choice(b)))) for i in range(150)]))
+    (found,) = class_lm.word_chunks(pa.array([" ".join(a + b)]))
+    classes = model.classes[model.symbols.of(found)]
+    assert not set(classes[: len(a)].tolist()) & set(classes[len(a) :].tolist())
+
+
+def test_score_by_a_plain_loop(docs, monkeypatch):
+    """score follows from classes, transitions and emissions token by token."""
+    monkeypatch.setattr(class_lm, "CORE_WORDS", 10)
+    monkeypatch.setattr(class_lm, "FREQUENT", 40)
+    rows = sample(80)[:-1]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    df = docs(rows)
+    model, _ = class_lm.train(df.where(~class_lm.held_out()))
+    counts = Counter(w for i, t in rows if not held(i) for w in [*words(t), None])
+    assert len(model.symbols.words) <= 40 < len(counts)
+    got = {r["doc_id"]: r["score"] for r in score_corpus(df).collect()}
+    for i, t in rows:
+        if i == 5:  # an id of several rows
+            continue
+        tokens = words(t)
+        (chunk,) = class_lm.word_chunks(pa.array([t or ""]))
+        classes = [0, *model.classes[model.symbols.of(chunk)].tolist(), 0]
+        want = sum(model.transition[a, b] + model.emission[b] for a, b in zip(classes, classes[1:]))
+        want += sum(math.log10(counts[w] + 1) for w in [*tokens, None])
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_an_even_table_is_clustered_too(spark):
+    """Where all counts are equal, as many rows are taken as may be."""
+    df = spark.range(1000).selectExpr("id word", "1L n")
+    assert 500 < df.where(class_lm.among_top(df, "n", 700, "word")).count() <= 700
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_no_single_move_is_left(seed):
+    r = np.random.default_rng(seed)
+    bigrams = (r.integers(0, 6, (14, 14)) * (r.random((14, 14)) < 0.5)).astype(float)
+    cls = exchange_classes(bigrams, 4)
+    known = lambda c: class_lm.information(np.eye(4)[c].T @ bigrams @ np.eye(4)[c])
+    for w in range(1, 14):
+        for k in range(1, 4):
+            assert known(np.where(np.arange(14) == w, k, cls)) <= known(cls) + 1e-6
