@@ -1,9 +1,10 @@
 """Web archives: legacy ARC files, their conversion to WARC, and reading both.
 
-An archive is a row of a DataFrame: its name and its bytes, which are gzip members
-of one record each, as in `.arc.gz` and `.warc.gz` files.  `archive_files` reads such
-files from any store that Spark reads; archives that Spark writes are Parquet rows,
-so a lost task writes its own again and no executor's disk matters.
+An archive is a row of a DataFrame: its name and its bytes.  Those written here are
+gzip members of one record each, as in `.arc.gz` and `.warc.gz` files; plain archives,
+and members of several records, are read too.  `archive_files` reads such files from
+any store that Spark reads; archives that Spark writes are Parquet rows, so a lost task
+writes its own again and no executor's disk matters.
 
 The converter reads each ARC's version block, takes the header lines that follow by
 that version's columns and the bodies by their declared lengths, and makes up what
@@ -68,6 +69,52 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         yield start, at, b"".join(parts)
 
 
+def _contents(data: bytes) -> Iterator[tuple[bytes, bytes | None]]:
+    """(content, packed) of an archive: its gzip members, or the whole of a plain one, which nothing packs."""
+    if data[:2] == b"\x1f\x8b":
+        yield from ((content, data[start:end]) for start, end, content in members(data))
+    else:
+        yield data, None
+
+
+def arc_records(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(version, record, the record in a gzip member of its own) of an ARC archive, without its version block."""
+    version = 0
+    for content, packed in _contents(data):
+        at = _after_blanks(content, 0)
+        while at < len(content):
+            cut = content.find(b"\n", at)
+            end = cut + 1 + int(content[at:cut].rsplit(b" ", 1)[1])  # the length is the last column of both versions
+            if cut < 0 or end > len(content):
+                raise ValueError("an ARC record is shorter than its declared length")
+            after = _after_blanks(content, end)
+            record = content[at:end]
+            if version:
+                alone = packed is not None and content[:at].strip(b"\r\n") == b"" and after == len(content)
+                yield version, record, packed if alone else member(record)
+            else:
+                version = arc_version(record)
+            at = after
+
+
+def warc_records(data: bytes) -> Iterator[bytes]:
+    """The records of a WARC archive."""
+    for content, _ in _contents(data):
+        at = _after_blanks(content, 0)
+        while at < len(content):
+            cut = content.find(b"\r\n\r\n", at)
+            head = content[at:cut].lower()
+            end = cut + 4 + int(head.partition(b"\r\ncontent-length:")[2].partition(b"\r\n")[0])
+            yield content[at:end]
+            at = _after_blanks(content, end)
+
+
+def _after_blanks(content: bytes, at: int) -> int:
+    while content[at : at + 1] in (b"\r", b"\n"):
+        at += 1
+    return at
+
+
 def arc_head(version: int, name: str, date: str) -> bytes:
     block = f"{version} 0 logloom\n".encode() if version == 1 else f"{version} 0 0 logloom\n".encode()
     block += ARC_LINES[version] + b"\n\n"
@@ -94,7 +141,7 @@ def parse_arc_record(version: int, record: bytes) -> ArcRecord:
     record = record.lstrip(b"\n")
     line, _, rest = record.partition(b"\n")
     columns = ARC_COLUMNS[version]
-    fields = dict(zip(columns, line.decode().rsplit(" ", len(columns) - 1), strict=True))
+    fields = dict(zip(columns, line.decode(errors="replace").rsplit(" ", len(columns) - 1), strict=True))
     length = int(fields["length"])
     if len(rest) < length:
         raise ValueError("an ARC record is shorter than its declared length")
@@ -111,8 +158,8 @@ def http_status(body: bytes) -> int | None:
 def http_parts(body: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (names in lower case) and payload of an HTTP response."""
     head, _, payload = body.partition(b"\r\n\r\n")
-    fields = (line.decode().partition(": ") for line in head.split(b"\r\n")[1:])
-    return {name.lower(): value for name, _, value in fields}, payload
+    fields = (line.decode(errors="replace").partition(":") for line in head.split(b"\r\n")[1:])
+    return {name.lower(): value.strip() for name, _, value in fields}, payload
 
 
 def http_response(payload: bytes, page_id: int | None) -> bytes:
@@ -162,20 +209,16 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_arc(archives: DataFrame, with_records: bool = True) -> DataFrame:
     """A row per record of ARC archives: page_id (of the record's X-Page-Id, else null), digest, payload_bytes
-    and, if asked for, version and record, the record's gzip member."""
+    and, if asked for, version and record, a gzip member."""
 
     def run(batches):
         for b in batches:
             for data in b.column(0):
                 rows = []
-                data, version = data.as_py(), 0
-                for start, end, content in members(data):
-                    if not version:
-                        version = arc_version(content)
-                        continue
-                    fields, payload = http_parts(parse_arc_record(version, content).body)
+                for version, record, packed in arc_records(data.as_py()):
+                    fields, payload = http_parts(parse_arc_record(version, record).body)
                     page = fields.get("x-page-id")
-                    rows.append((int(page) if page else None, hashlib.sha256(payload).digest(), len(payload), version, data[start:end]))
+                    rows.append((int(page) if page else None, hashlib.sha256(payload).digest(), len(payload), version, packed))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())]
@@ -200,10 +243,10 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes
 def parse_warc_record(record: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (names in lower case) and block of a WARC record."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode(errors="replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines)}
+    fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
     return fields, rest[: int(fields["content-length"])]
 
 
@@ -252,20 +295,27 @@ def arc_to_warc(archives: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """A row per record of WARC archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, html
-    (null for a revisit).  A response whose payload isn't that of its digest is an error."""
+    (null for a revisit).  A response whose payload isn't that of its SHA-256 digest is an error; of other writers'
+    records, digests of other kinds aren't checked, and what a revisit doesn't tell is null.  Other types of records
+    than responses and revisits are left out."""
 
     def run(batches):
         for b in batches:
             for data in b.column(0):
                 rows = []
-                for _, _, content in members(data.as_py()):
-                    fields, block = parse_warc_record(content)
+                for record in warc_records(data.as_py()):
+                    fields, block = parse_warc_record(record)
+                    kind = fields["warc-type"]
+                    if kind not in ("response", "revisit"):
+                        continue
                     http, payload = http_parts(block)
-                    digest, kind = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"]
-                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{fields['warc-record-id']}: the payload isn't that of its digest")
-                    page, refers = http.get("x-page-id"), fields.get("x-refers-to-page")
-                    rows.append((int(page) if page else None, int(fields["x-payload-length"]), digest, kind, int(refers) if refers else None, fields["warc-target-uri"], fields["warc-date"], payload.decode() if kind == "response" else None))
+                    told, own = fields.get("warc-payload-digest", ""), hashlib.sha256(payload).hexdigest() if kind == "response" else None
+                    digest = told.removeprefix("sha256:") if told.startswith("sha256:") else own
+                    if own is not None and own != digest:
+                        raise ValueError(f"{fields.get('warc-record-id')}: the payload isn't that of its digest")
+                    page, refers, size = http.get("x-page-id"), fields.get("x-refers-to-page"), fields.get("x-payload-length")
+                    length = int(size) if size else len(payload) if own is not None else None
+                    rows.append((int(page) if page else None, length, digest, kind, int(refers) if refers else None, fields.get("warc-target-uri"), fields.get("warc-date"), payload.decode(errors="replace") if own is not None else None))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

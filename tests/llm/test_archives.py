@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import pytest
@@ -46,3 +47,18 @@ def test_files_and_headers(spark, tmp_path):
     assert fields["warc-target-uri"] == "http://a/b%20c" and fields["warc-date"] == "2024-01-01T00:00:00Z" and fields["warc-record-id"].startswith("<urn:uuid:")
     assert block.endswith(b"<p>x</p>")
     assert read_warc(spark.createDataFrame(warc)).first()["html"] == "<p>x</p>"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_of_other_writers(spark, version):
+    """Plain, in one gzip member, and in a member for each record; a WARC with other types of records."""
+    bodies = [b"HTTP/1.1 200 OK\r\nX-Odd: \xff\r\n\r\n" + c * n for c, n in ((b"a", 5), (b"\n", 200), (b"\xff", 120), (b"\xff", 120))]
+    parts = [arc_head(version, "x.arc", "20240101000000"), *(arc_record(version, f"http://a/{k}", "20240102", b) for k, b in enumerate(bodies))]
+    for data in (b"".join(parts), member(b"".join(parts)), b"".join(map(member, parts))):
+        out = read_warc(arc_to_warc(spark.createDataFrame([("x", bytearray(data))], "name string, data binary"))).collect()
+        assert sorted((r["url"], r["payload_bytes"]) for r in out) == [("http://a/0", 5), ("http://a/1", 200), ("http://a/2", 120), ("http://a/3", 120)]
+    other = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    other += b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhiya\r\n\r\n"
+    for data in (other, member(other)):
+        (r,) = read_warc(spark.createDataFrame([("x", bytearray(data))], "name string, data binary")).collect()
+        assert (r["url"], r["html"], r["payload_bytes"], r["payload_digest"]) == ("u", "hiya", 4, hashlib.sha256(b"hiya").hexdigest())
