@@ -121,9 +121,9 @@ def class_table(bigrams: DataFrame, size: int, classes: np.ndarray, kinds: int)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    rows = bigrams.select("pair", "n").mapInArrow(run, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = bigrams.select("pair", "n").mapInArrow(run, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(kinds * kinds)
-    out[[r["pair"] for r in rows]] = [r["n"] for r in rows]
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(kinds, kinds)
 
 
