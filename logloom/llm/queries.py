@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .archives import archive_pages
 from .class_lm import score_corpus
 from .common import table, tokenizer, written
 from .exact_dedup import exact_groups
+from .fill_middle import FILL_MIDDLE_SQL, round_trip
+from .hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from .license_scan import scan_licenses, scan_sql
 from .media import describe_media, encode_media
 from .ngram_join import similar_texts
 from .packing import pack_documents
+from .piecewise import compare_with_next
 from .segmentations import sample_segmentations
 from .toxicity import toxicity
 from .url_filter import filter_sql, filter_urls
@@ -59,6 +63,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), anchors=F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -78,5 +95,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first_page <> page_id THEN first_page END AS refers_to FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL, "op10_url_filter": filter_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter, "op11_hard_negatives": op11_hard_negatives, "op12_fill_middle": op12_fill_middle, "op13_fingerprints": op13_fingerprints}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL, "op10_url_filter": filter_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_fill_middle": FILL_MIDDLE_SQL}
