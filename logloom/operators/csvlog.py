@@ -13,6 +13,8 @@ from ..functions.metadata import as_metadata
 from ..functions.texts import filled, trim
 from ..functions.times import checked_pattern, csv_time
 from ..options import ParseOptions
+from ..schema import entries_of
+from ..sources.scratch import kept
 from .textlog import finish
 
 #: The headers of each field, in the order in which fields are tried.
@@ -93,7 +95,7 @@ def file_layouts(lines: DataFrame, opts: ParseOptions) -> DataFrame:
 
 def csv_rows(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     """`lines` with parse_status, error_message, _row (an array of cells), and the _names and _fields of their file's layout."""
-    layouts = file_layouts(lines, opts)
+    layouts = kept(file_layouts(lines, opts), "layouts")
     # Two numbers and at most four marks for all files.
     size = layouts.agg(F.coalesce(F.max(F.size("_names")), F.lit(1)).alias("width"), F.collect_set("_mark").alias("marks")).first()
     width, marks = max(1, size["width"]), sorted(size["marks"]) or [","]
@@ -124,7 +126,12 @@ def csv_status(lines: DataFrame, opts: ParseOptions) -> DataFrame:
 def parse_csv(lines: DataFrame, opts: ParseOptions) -> DataFrame:
     """Entries of the data rows, each by the layout of its file.  Columns that no field took go to metadata; without a
     message column the other columns but timestamp, level, logger and thread make the message."""
-    rows = csv_rows(lines, opts).where("parse_status = 'SUCCESS'")
+    return entries_of(csv_records(lines, opts))
+
+
+def csv_records(lines: DataFrame, opts: ParseOptions) -> DataFrame:
+    """A row for each line, with its entry if it is a data row."""
+    rows = csv_rows(lines, opts).withColumns({"lines": F.lit(1).cast("long"), "parts": F.lit(1).cast("long")})
     at = lambda f: F.try_element_at("_fields", F.lit(f))
     value = lambda f: filled(trim(filled(F.get("_row", at(f)))))
     rows = rows.withColumns({f"_v_{f}": value(f) for f in HEADERS})

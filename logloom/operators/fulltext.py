@@ -54,11 +54,11 @@ def field_matches(name: str, text: str) -> Column:
     if name in KEYWORDS:
         return F.col(name) == text
     words = tokens(F.col(name))
-    each = [_some(words, w) for w in query_words(text)]
+    each = [some_match(words, w) for w in query_words(text)]
     return reduce(lambda a, b: a & b, each) if each else F.lit(False)
 
 
-def _some(words: Column, word: str) -> Column:
+def some_match(words: Column, word: str) -> Column:
     return F.exists(words, lambda t: word_matches(t, word))
 
 

@@ -8,29 +8,42 @@ from pyspark.sql import functions as F
 from ..functions.texts import TOKEN
 from ..options import LogQuery
 from ..schema import TEXTS
-from .fulltext import query_words, word_matches
+from .fulltext import query_words, some_match, word_matches
 
 PRE, POST = '<em class="highlight">', "</em>"
 FRAGMENT_CHARS, FRAGMENTS = 150, 3
+SENTENCE = rf"(?s).{{1,{FRAGMENT_CHARS}}}?(?:[.!?]+\s+|\n+|$)|.{{1,{FRAGMENT_CHARS}}}(?:\b|$)|.{{1,{FRAGMENT_CHARS}}}"
 
 
 def marked_fragments(field: Column, text: str) -> Column:
-    """Up to three fragments of about 150 characters that have a match, with the matching words marked."""
-    pieces = F.regexp_extract_all(F.coalesce(field, F.lit("")), F.lit(rf"(?s).{{1,{FRAGMENT_CHARS}}}(?:\b|$)"), 0)
+    """Up to three passages that have a match, with the matching words marked.
+
+    Passages are sentences, longer ones broken between words after 150 characters.  Those with most different words of the query
+    are chosen, of equal ones the earlier, and shown in their order.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(field, F.lit("")), F.lit(SENTENCE), 0)
+    words = query_words(text)
 
     def hit(t: Column) -> Column:
         out = F.lit(False)
-        for w in query_words(text):
+        for w in words:
             out = out | word_matches(F.lower(t), w)
         return out
 
+    def score(piece: Column) -> Column:
+        said, out = F.regexp_extract_all(F.lower(piece), F.lit(TOKEN), 0), F.lit(0)
+        for w in words:
+            out = out + some_match(said, w).cast("int")
+        return out
+
     def mark(piece: Column) -> Column:
         words, gaps = F.regexp_extract_all(piece, F.lit(TOKEN), 0), F.split(piece, TOKEN)
         shown = F.transform(words, lambda t: F.when(hit(t), F.concat(F.lit(PRE), t, F.lit(POST))).otherwise(t))
         return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(shown, i), F.lit("")))), "")
 
-    marked = F.transform(pieces, mark)
-    return F.slice(F.filter(marked, lambda p: p.contains(PRE)), 1, FRAGMENTS)
+    scored = F.filter(F.transform(pieces, lambda p, i: F.struct((-score(p)).alias("order"), i.alias("i"), p.alias("piece"))), lambda s: s["order"] < 0)
+    best = F.transform(F.slice(F.array_sort(scored), 1, FRAGMENTS), lambda s: F.struct(s["i"].alias("i"), s["piece"].alias("piece")))
+    return F.transform(F.array_sort(best), lambda s: mark(s["piece"]))
 
 
 def highlights(entries: DataFrame, q: LogQuery) -> DataFrame:

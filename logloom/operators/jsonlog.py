@@ -9,6 +9,7 @@ from ..functions.levels import normal_level
 from ..functions.texts import source_of, trim
 from ..functions.times import checked_pattern, json_time
 from ..options import ParseOptions
+from ..schema import entries_of
 from .textlog import finish
 
 #: The keys of each field, in the order in which they are looked up.
@@ -45,12 +46,17 @@ def json_status(lines: DataFrame) -> DataFrame:
 
 
 def parse_json(lines: DataFrame, opts: ParseOptions) -> DataFrame:
-    """Entries of the lines that parse; an array gives one without fields.  Keys that no field took go to metadata."""
-    rows = json_lines(lines).where("parse_status = 'SUCCESS'")
+    """Entries of the lines that parse; an array gives one without fields.  Keys that no field could take go to metadata."""
+    return entries_of(json_records(lines, opts))
+
+
+def json_records(lines: DataFrame, opts: ParseOptions) -> DataFrame:
+    """A row for each line, with its entry if it parses."""
+    rows = json_lines(lines).withColumns({"lines": F.lit(1).cast("long"), "parts": F.lit(1).cast("long")})
     level, stack, logger = normal_level(field("level")), field("stack_trace"), field("logger")
-    lower = sorted({k.lower() for keys in KEYS.values() for k in keys} | {"tags"})
-    # A key that only differs in case from a field's goes nowhere: no field takes it, and metadata looks at no case.
-    spare = F.map_filter("_map", lambda k, v: v.isNotNull() & ~F.lower(k).isin(*lower))
+    taken = sorted({k for keys in KEYS.values() for k in keys} | {"tags"})
+    # A key that only differs in case from a field's is one that no field takes.
+    spare = F.map_filter("_map", lambda k, v: v.isNotNull() & ~k.isin(*taken))
     tags = F.from_json(F.try_element_at("_map", F.lit("tags")), "array<string>")
     metadata = F.when(tags.isNull() & F.try_element_at("_map", F.lit("tags")).isNotNull(), F.map_concat(spare, F.create_map(F.lit("tags"), F.try_element_at("_map", F.lit("tags"))))).otherwise(spare)
     has_error = F.coalesce(F.when(level.isNotNull(), level == "ERROR"), F.when(stack.isNotNull(), F.lit(True)))

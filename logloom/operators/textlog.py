@@ -12,7 +12,7 @@ from ..functions.metadata import as_metadata, entry, line_entries
 from ..functions.texts import filled, source_of, trim
 from ..functions.times import checked_pattern, text_time
 from ..options import ParseOptions
-from ..schema import conform
+from ..schema import STATUS, conform
 from .multiline import assign_heads, attach_traces
 
 
@@ -86,8 +86,17 @@ def line_status(matched: DataFrame) -> DataFrame:
 
 def parse_text(lines: DataFrame, opts: ParseOptions, spark=None) -> DataFrame:
     """Entries of `lines`, stack traces attached."""
-    heads = attach_traces(assign_heads(match_lines(lines, opts)))
-    return text_entries(heads, opts)
+    return conform(text_entries(attach_traces(assign_heads(match_lines(lines, opts))), opts))
+
+
+def text_records(lines: DataFrame, opts: ParseOptions) -> DataFrame:
+    """A row for each entry and each blank line of `lines`, with what became of them."""
+    return text_entries(attach_traces(assign_heads(match_lines(lines, opts)), blank=True), opts)
+
+
+def text_status(lines: DataFrame, opts: ParseOptions) -> DataFrame:
+    """What became of each line.  Only what tells that is carried along, so it is what both sides of `assign_heads` share."""
+    return line_status(assign_heads(match_lines(lines, opts).select("file_name", "line_number", "line", "class")))
 
 
 def text_entries(heads: DataFrame, opts: ParseOptions) -> DataFrame:
@@ -114,6 +123,8 @@ def text_entries(heads: DataFrame, opts: ParseOptions) -> DataFrame:
                 "hostname": F.col("_hostname"),
                 "metadata": as_metadata(F.col("_entries")),
                 "has_stack_trace": F.when(F.col("stack_trace").isNotNull(), F.lit(True)),
+                "parse_status": F.when(cls == "B", "SKIPPED").when(cls.isin("E", "I"), "BUFFERED").otherwise("SUCCESS"),
+                "error_message": F.lit(None).cast("string"),
             }
         ),
         opts,
@@ -121,7 +132,7 @@ def text_entries(heads: DataFrame, opts: ParseOptions) -> DataFrame:
 
 
 def finish(entries: DataFrame, opts: ParseOptions) -> DataFrame:
-    """What all parsers add: id, job, file, raw line, times.  `_stamp` is the parsed timestamp or null."""
+    """What all parsers add: id, job, file, raw line, times; `STATUS` is kept.  `_stamp` is the parsed timestamp or null."""
     at = F.lit(opts.ingest_ts).cast("timestamp_ntz")
     name = F.lit(opts.file_name) if opts.file_name else F.col("file_name")
     return conform(
@@ -135,5 +146,6 @@ def finish(entries: DataFrame, opts: ParseOptions) -> DataFrame:
                 "timestamp_inferred": F.col("_stamp").isNull(),
                 "indexed_at": at,
             }
-        )
+        ),
+        STATUS,
     )

@@ -21,12 +21,13 @@ FINE = 4096
 def all_buckets(counts: DataFrame, every: str) -> DataFrame:
     """Every bucket from the first to the last of `counts` (bucket_start, ...).
 
-    They are numbered in coarse steps, dealt out, and then in fine ones, so no row or task holds the whole range.
+    They are numbered in coarse steps, dealt out, and then in fine ones, so no row or task holds the whole range.  The
+    number of parts is given, as the few coarse rows would else be brought together in one.
     """
     number, unit = (FIXED_INTERVALS.get(every) or f"1 {CALENDAR_INTERVALS[every]}").upper().removesuffix("S").split()
     ends = counts.agg(F.min("bucket_start").alias("a"), F.max("bucket_start").alias("b")).where("a is not null")
     ends = ends.withColumn("n", F.floor(F.expr(f"timestampdiff({unit}, a, b)") / int(number)).cast("long"))
-    coarse = ends.select("a", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / FINE))).alias("k")).repartition("k")
+    coarse = ends.select("a", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / FINE))).alias("k")).repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
     fine = coarse.select("a", F.explode(F.sequence(F.col("k") * FINE, F.least(F.col("n"), (F.col("k") + 1) * FINE - 1))).alias("i"))
     return fine.select((F.col("a") + F.expr(f"INTERVAL '{number}' {unit}") * F.col("i")).alias("bucket_start"))
 

@@ -8,28 +8,33 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FileTooLargeError, InvalidQueryError
+from ..errors import FileTooLargeError, InvalidQueryError, LogProcessingError
 from ..operators.aggregates import errors_per_logger, facets, job_statistics, summary, top_error_messages, top_values
-from ..functions.texts import trim
-from ..operators.csvlog import csv_status, file_layouts
+from ..operators.csvlog import csv_status
 from ..operators.export import export_lines, write_export
 from ..operators.filters import apply_filters
+from ..operators.heavy import heavy_values
 from ..operators.highlight import highlights
 from ..operators.jsonlog import json_status
-from ..operators.multiline import assign_heads
-from ..operators.page import context_query, page_of, project
-from ..operators.textlog import line_status, match_lines
+from ..operators.multiline import assign_heads, trace_parts
+from ..operators.page import Cursor, context_query, cursor_of, page_after, page_of, project
+from ..operators.textlog import match_lines, text_status
 from ..operators.timeline import timeline, timeline_levels
 from ..options import ExportOptions, LogQuery, Pagination, ParseOptions
-from ..schema import LEVELS, LOG_ENTRY_SCHEMA
+from ..schema import HAS_ENTRY, LEVELS, LOG_ENTRY_SCHEMA, entries_of
 from ..sources.detect import Registry, sample_text, upload_extension
-from ..sources.lines import file_sizes, read_lines
-from .jobs import COMPLETED, FAILED, PROCESSING, Job, JobStore, lines_per_second
+from ..sources.lines import FileScan, file_sizes
+from .jobs import COMPLETED, FAILED, PROCESSING, Job, JobStore, per_second
+from .progress import EVERY, watched
+from .rollup import merged, rollup
 
 FIELD_LIMIT = 100
+#: Entries of a batch, as statistics count them; tasks write more at once.
+BATCH_ENTRIES = 1000
+TRACES = "job_id string, file_name string, head_line long, part long, text string"
 
 
 @dataclass(frozen=True)
@@ -49,44 +54,94 @@ class LogEngine:
 
     # -- ingest
 
-    def ingest(self, path: str, timestamp_format: str | None = None, job_id: str | None = None, options: ParseOptions | None = None, kind: str | None = None) -> Job:
-        """Parse the files at `path` into a new job; their format is detected unless `kind` names it."""
+    def ingest(self, path: str, timestamp_format: str | None = None, job_id: str | None = None, options: ParseOptions | None = None, kind: str | None = None, start_line: int = 1, charset: str | None = None, batch_entries: int = BATCH_ENTRIES, look_every: float = EVERY) -> Job:
+        """Parse the files at `path` into a new job; their format is detected unless `kind` names it.
+
+        The files are read twice: once to count their lines, once to parse and write them.  What the job tells of its lines
+        and entries is observed on the rows that the second pass writes.
+        """
         upload_extension(path, tuple(e[1:] for e in (".log", ".txt", ".json", ".csv", ".ndjson", ".tsv", ".out", ".err")))
+        if start_line < 1:
+            raise InvalidQueryError("startLine", start_line, "lines count from 1")
         if self.max_file_size is not None and file_sizes(self.spark, path).where(F.col("bytes") > self.max_file_size).first():
             raise FileTooLargeError(f"{path}: over {self.max_file_size} bytes")
+        if job_id and self.jobs.get(job_id):
+            raise LogProcessingError(f"there is a job {job_id!r} already")
         now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         opts = replace(options or ParseOptions(ingest_ts=now), job_id=job_id or uuid.uuid4().hex)
         opts = replace(opts, timestamp_format=timestamp_format or opts.timestamp_format)
         began = time.monotonic()
-        job = self.jobs.save(Job(opts.job_id, PROCESSING, 5, file_name=path.rpartition("/")[2], timestamp_format=opts.timestamp_format, started_at=now))
+        job = self.jobs.save(Job(opts.job_id, PROCESSING, 5, file_name=path.rpartition("/")[2], timestamp_format=opts.timestamp_format, started_at=now, start_line=start_line))
         try:
-            parser = self.registry.by_format(kind) if kind else self.registry.detect(path, sample_text(self.spark, path))
-            lines = read_lines(self.spark, path)
-            entries = parser.parse(lines, opts)
-            entries.write.mode("append").partitionBy("job_id").parquet(f"{self.store}/entries")
-            counts = self.accounting(parser.format, lines, opts)
+            with watched(self.spark, self.jobs, job, look_every):
+                told = self._ingest(path, kind, opts, start_line, charset)
         except Exception as e:
             self.jobs.save(job, status=FAILED, error=str(e)[:2000], completed_at=datetime.now(timezone.utc).replace(tzinfo=None))
             raise
         ms = max(1, int((time.monotonic() - began) * 1000))
-        total = counts["total_lines"]
-        return self.jobs.save(job, status=COMPLETED, progress=100, completed_at=datetime.now(timezone.utc).replace(tzinfo=None), total_lines=total, processed_lines=total, successful_lines=counts["successful_lines"], failed_lines=counts["failed_lines"], processing_time_ms=ms, lines_per_second=lines_per_second(total, ms))
-
-    def accounting(self, kind: str, lines: DataFrame, opts: ParseOptions) -> dict[str, int]:
-        """What became of a job's lines, without parsing them again: a line with text that isn't a header and made no
-        entry failed or, in text, continues the entry before it."""
-        blank = F.col("line").isNull() | (trim(F.col("line")) == "")
-        seen = lines.agg(F.count("*").alias("total"), F.count_if(blank).alias("blank")).first()
-        made = self.entries(opts.job_id).count()
-        headers = file_layouts(lines, opts).where("_header").count() if kind == "CSV" else 0
-        rest = seen["total"] - seen["blank"] - headers - made
-        text = kind not in ("JSON", "CSV")
-        return {"total_lines": seen["total"], "successful_lines": made, "skipped_lines": seen["blank"] + headers, "failed_lines": 0 if text else rest, "continuation_lines": rest if text else 0}
+        batches = -(-told["saved_entries"] // batch_entries)
+        rates = {"lines_per_second": per_second(told["total_lines"], ms), "bytes_per_second": per_second(told["bytes_read"], ms), "batches": batches, "average_save_ms": told.pop("save_ms") / batches if batches else 0.0}
+        return self.jobs.save(job, status=COMPLETED, progress=100, completed_at=datetime.now(timezone.utc).replace(tzinfo=None), processing_time_ms=ms, **told, **rates)
+
+    def _ingest(self, path: str, kind: str | None, opts: ParseOptions, start_line: int, charset: str | None) -> dict:
+        """Parse and write; what was observed of it."""
+        parser = self.registry.by_format(kind) if kind else self.registry.detect(path, sample_text(self.spark, path))
+        if parser is None:
+            raise LogProcessingError(f"no parser for the format {kind!r}")
+        scan = FileScan(self.spark, path, start_line, charset)
+        seen, has_entry = Observation(), F.col("parse_status").isin(*HAS_ENTRY)
+        records = parser.records(scan.lines(), opts).observe(
+            seen,
+            F.count_if(has_entry).alias("entries"),
+            F.sum("lines").alias("lines"),
+            F.sum(F.when(has_entry, F.greatest(F.col("lines"), F.lit(1)))).alias("entry_lines"),
+            F.count_if(has_entry & (F.col("lines") == 0)).alias("further"),
+            F.count_if(F.col("parse_status") == "FAILED").alias("failed"),
+            F.count_if(F.col("parse_status") == "SKIPPED").alias("skipped"),
+            F.count_if(has_entry & F.col("has_error")).alias("errors"),
+            F.count_if(has_entry & F.col("timestamp_inferred")).alias("inferred"),
+            F.count_if(F.col("parts") > 1).alias("split_traces"),
+            *[F.count_if(has_entry & (F.col("level") == v)).alias(f"level_{v}") for v in LEVELS],
+        )
+        began = time.monotonic()
+        entries_of(records).write.mode("append").partitionBy("job_id").parquet(f"{self.store}/entries")
+        save_ms = int((time.monotonic() - began) * 1000)
+        got = {k: v or 0 for k, v in seen.get.items()}
+        if got["split_traces"]:
+            traces = trace_parts(assign_heads(match_lines(scan.lines(), opts).select("file_name", "line_number", "line", "class")))
+            traces = traces.select(F.lit(opts.job_id).alias("job_id"), F.lit(opts.file_name).alias("file_name") if opts.file_name else "file_name", "head_line", "part", "text")
+            traces.write.mode("append").partitionBy("job_id").parquet(f"{self.store}/traces")
+        rollup(self._stored(opts.job_id)).write.mode("append").partitionBy("job_id").parquet(f"{self.store}/rollups")
+        # Without a parser's own statuses, lines with text that made no entry failed.
+        blank = scan.blank_count if start_line == 1 else 0
+        total = got["lines"] if parser.read else max(scan.line_count - start_line + 1, 0)
+        failed = got["failed"] if parser.read else max(total - blank - got["lines"], 0)
+        skipped = got["skipped"] if parser.read else min(blank, max(total - got["lines"], 0))
+        good = got["entries"] - got["further"]
+        return {
+            "total_lines": total,
+            "processed_lines": total,
+            "successful_lines": good,
+            "failed_lines": failed,
+            "skipped_lines": skipped,
+            "continuation_lines": got["entry_lines"] - got["entries"],
+            "success_rate": good * 100.0 / total if total else 0.0,
+            "end_line": scan.longest_file,
+            "bytes_read": scan.byte_count,
+            "total_entries": got["entries"],
+            "saved_entries": got["entries"],
+            "failed_entries": 0,  # a write that fails saves nothing
+            "save_ms": save_ms,
+            "error_count": got["errors"],
+            "inferred_timestamps": got["inferred"],
+            "split_traces": got["split_traces"],
+            "level_counts": {v: got[f"level_{v}"] for v in LEVELS if got[f"level_{v}"]},
+        }
 
     def status_of(self, kind: str, lines: DataFrame, opts: ParseOptions) -> DataFrame:
         """What became of each line; of formats that aren't built in, every line succeeded."""
         if kind == "TEXT":
-            return line_status(assign_heads(match_lines(lines, opts)))
+            return text_status(lines, opts)
         if kind == "JSON":
             return json_status(lines)
         if kind == "CSV":
@@ -104,8 +159,27 @@ class LogEngine:
 
     def entries(self, job_id: str) -> DataFrame:
         self.jobs.find(job_id)
+        return self._stored(job_id)
+
+    def _stored(self, job_id: str) -> DataFrame:
         return self.spark.read.schema(LOG_ENTRY_SCHEMA).parquet(f"{self.store}/entries").where(F.col("job_id") == job_id)
 
+    def trace(self, job_id: str, line: int, file_name: str | None = None) -> DataFrame:
+        """(file_name, part, text) of the whole stack trace of the entry at a line, in parts; the lines of two parts have a line feed
+        between them."""
+        head = self.entries(job_id).where(F.col("line_number") == line).select("file_name", F.lit(0).cast("long").alias("part"), F.col("stack_trace").alias("text")).where("text is not null")
+        if self.jobs.find(job_id).split_traces:
+            more = self.spark.read.schema(TRACES).parquet(f"{self.store}/traces").where((F.col("job_id") == job_id) & (F.col("head_line") == line))
+            head = head.unionByName(more.select("file_name", "part", "text"))
+        return (head.where(F.col("file_name") == file_name) if file_name else head).orderBy("file_name", "part")
+
+    def summary_of(self, job_ids: list[str], first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+        """A summary over jobs and days from their rollups: no entry is read, and numbers of different values are estimates."""
+        rows = self.spark.read.parquet(f"{self.store}/rollups").where(F.col("job_id").isin(*job_ids))
+        if first_day:
+            rows = rows.where(F.col("day") >= F.lit(first_day).cast("date"))
+        return merged(rows.where(F.col("day") <= F.lit(last_day).cast("date")) if last_day else rows)
+
     # -- queries
 
     def search(self, q: LogQuery, posted: bool = False) -> SearchResult:
@@ -115,11 +189,22 @@ class LogEngine:
             q.validate_page()
         found = apply_filters(self.entries(q.job_id), q)
         page = page_of(found, q)
-        total = found.count()
         marks = highlights(page, q) if q.highlight and q.search_text else None
-        counted = (summary(found), top_values(found, "level")) if q.include_summary else (None, None)
+        if q.include_summary:  # it counts the entries as well
+            counts = summary(found)
+            row = counts.first()
+            total, counted = row["total_entries"], (self.spark.createDataFrame([row], counts.schema), top_values(found, "level"))
+        else:
+            total, counted = found.count(), (None, None)
         return SearchResult(project(page, q), Pagination(q.page, q.size, total), *counted, marks, int((time.monotonic() - began) * 1000))
 
+    def search_after(self, q: LogQuery, cursor: Cursor | None = None) -> tuple[DataFrame, Cursor | None]:
+        """A page of what comes after `cursor` (from the beginning without one), and the cursor of its last entry, None if there is
+        none.  However far a page is, no entries before it are sorted."""
+        found = apply_filters(self.entries(q.validate().job_id), q)
+        page = page_after(found, q, cursor)
+        return project(page, q), cursor_of(page, q)
+
     def count(self, q: LogQuery) -> int:
         return apply_filters(self.entries(q.job_id), q).count()
 
@@ -150,10 +235,15 @@ class LogEngine:
     def top_error_messages(self, job_id: str, limit: int = 10) -> DataFrame:
         return top_error_messages(self.entries(job_id), limit)
 
-    def context(self, job_id: str, line: int, before: int = 5, after: int = 5) -> DataFrame:
+    def top_values_of(self, job_id: str, fields: tuple[str, ...], limit: int = FIELD_LIMIT) -> DataFrame:
+        """(field, value, count), as `facet` has them, without shuffling every different value."""
+        return heavy_values(self.entries(job_id), fields, limit)
+
+    def context(self, job_id: str, line: int, before: int = 5, after: int = 5, file_name: str | None = None) -> DataFrame:
+        """The entries around a line, of one file if the job has several."""
         if line < 1 or before < 0 or after < 0:
             raise InvalidQueryError("line", line, "lines count from 1, and the numbers of lines around can't be negative")
-        q = context_query(job_id, line, before, after)
+        q = replace(context_query(job_id, line, before, after), file_name=file_name)
         return page_of(apply_filters(self.entries(job_id), q), q)
 
     # -- export

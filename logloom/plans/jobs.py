@@ -14,7 +14,9 @@ from ..errors import JobNotFoundError
 QUEUED, PROCESSING, COMPLETED, FAILED = "QUEUED", "PROCESSING", "COMPLETED", "FAILED"
 SCHEMA = """job_id string, status string, progress int, message string, error string, file_name string, file_size long, timestamp_format string,
   started_at timestamp, updated_at timestamp, completed_at timestamp, total_lines long, processed_lines long, successful_lines long, failed_lines long,
-  processing_time_ms long, lines_per_second double, deleted boolean"""
+  processing_time_ms long, lines_per_second double, deleted boolean, skipped_lines long, continuation_lines long, success_rate double, start_line long, end_line long,
+  bytes_read long, bytes_per_second double, total_entries long, saved_entries long, failed_entries long, batches long, average_save_ms double, error_count long,
+  inferred_timestamps long, split_traces long, level_counts map<string,long>"""
 
 
 def progress(done: int, total: int) -> int:
@@ -22,8 +24,8 @@ def progress(done: int, total: int) -> int:
     return 5 + done * 90 // total if total else 5
 
 
-def lines_per_second(lines: int, ms: int) -> float:
-    return lines * 1000 / ms if ms > 0 else 0.0
+def per_second(number: int, ms: int) -> float:
+    return number * 1000 / ms if ms > 0 else 0.0
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,22 @@ class Job:
     processing_time_ms: int | None = None
     lines_per_second: float | None = None
     deleted: bool = False
+    skipped_lines: int | None = None
+    continuation_lines: int | None = None
+    success_rate: float | None = None
+    start_line: int | None = None
+    end_line: int | None = None
+    bytes_read: int | None = None
+    bytes_per_second: float | None = None
+    total_entries: int | None = None
+    saved_entries: int | None = None
+    failed_entries: int | None = None
+    batches: int | None = None
+    average_save_ms: float | None = None
+    error_count: int | None = None
+    inferred_timestamps: int | None = None
+    split_traces: int | None = None
+    level_counts: dict[str, int] | None = None
 
 
 class JobStore:
@@ -67,10 +85,14 @@ class JobStore:
         return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1 and not deleted").drop("_n")
 
     def find(self, job_id: str) -> Job:
-        row = self.table().where(F.col("job_id") == job_id).first()
-        if row is None:
+        job = self.get(job_id)
+        if job is None:
             raise JobNotFoundError(job_id)
-        return Job(**row.asDict())
+        return job
+
+    def get(self, job_id: str) -> Job | None:
+        row = self.table().where(F.col("job_id") == job_id).first()
+        return row and Job(**row.asDict())
 
     def by_status(self, status: str) -> DataFrame:
         return self.table().where(F.col("status") == status)

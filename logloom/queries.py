@@ -6,11 +6,12 @@ whole table; limits are those of pages and top lists.
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +23,18 @@ from .operators.csvlog import parse_csv
 from .operators.export import export_rows, write_export
 from .operators.filters import apply_filters
 from .operators.fulltext import edits, query_words, swaps
+from .operators.heavy import heavy_values
 from .operators.highlight import highlights
 from .operators.jsonlog import json_status, parse_json
-from .operators.multiline import assign_heads
-from .operators.page import context_query, page_of, project
-from .operators.textlog import line_status, match_lines, parse_text
+from .operators.page import context_query, cursor_of, page_after, page_of, project
+from .operators.textlog import parse_text, text_status
 from .operators.timeline import envelope, timeline, timeline_levels
 from .options import ExportOptions, LogQuery, ParseOptions
 from .plans.engine import LogEngine
+from .plans.rollup import merged, rollup
 from .sources.detect import Registry, sample_text
 from .sources.events import as_lines, events_as_logs
+from .sources.scratch import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 OPTS = ParseOptions(job_id="events", file_name="events.log", ingest_ts=datetime(2024, 6, 1), default_year=2024)
@@ -95,6 +98,25 @@ register("search_page", _page(LogQuery("events", levels=("ERROR",), page=2, size
 register("search_page_ascending", _page(LogQuery("events", sort_by="thread", sort_direction="ASC", page=1, size=200)), "SELECT line_number, timestamp, level, thread FROM lines ORDER BY thread NULLS LAST, line_number, id LIMIT 200 OFFSET 200")
 register("search_projection", lambda s, d: project(logs(s, d), LogQuery("events", include_fields=("lineNumber", "level", "logger", "nothing"), exclude_fields=("logger",))), "SELECT level, line_number FROM lines")
 register("context_lines", lambda s, d: page_of(apply_filters(logs(s, d), q := context_query("events", 42)), q).select("line_number", "raw_line"), "SELECT line_number, raw_line FROM lines WHERE line_number BETWEEN 37 AND 47")
+
+
+def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages in a row, each from where the one before ends."""
+    q, cursor, pages = LogQuery("events", levels=("ERROR", "WARN"), sort_by="thread", sort_direction="asc", size=100), None, []
+    for number in range(5):
+        page = page_after(apply_filters(logs(spark, sf_dir), q), q, cursor)
+        pages.append(page.select(F.lit(number).alias("page"), "line_number", "thread", "timestamp"))
+        cursor = cursor_of(page, q)
+        if cursor is None:
+            break
+    return reduce(DataFrame.unionByName, pages)
+
+
+register(
+    "search_cursor",
+    _cursor,
+    "SELECT ((row_number() OVER (ORDER BY thread, line_number, id) - 1) // 100)::INTEGER AS page, line_number, thread, timestamp FROM lines WHERE level IN ('ERROR', 'WARN') QUALIFY row_number() OVER (ORDER BY thread, line_number, id) <= 500",
+)
 register("count_query", lambda s, d: apply_filters(logs(s, d), LogQuery("events", has_error=True)).agg(F.count("*").alias("total")), "SELECT count(*) AS total FROM lines WHERE has_error")
 
 # ---------------------------------------------------------------- full text
@@ -136,6 +158,20 @@ def _highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.element_at("highlights", "message")[0].alias("fragment"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sentences, of which four have a word of the query; the first of those with one word only gives way."""
+    q = LogQuery("events", search_text="failed host", search_fields=("message",), highlight=True)
+    said = F.concat(F.lit("It failed at once. Nothing else happened! The "), "source", F.lit(" failed on a host.\nThen "), "thread", F.lit(" failed on that host? At last the host was gone"))
+    found = highlights(apply_filters(logs(spark, sf_dir).withColumn("message", said), q), q)
+    return found.select("id", F.posexplode(F.element_at("highlights", "message")).alias("place", "passage"))
+
+
+register(
+    "highlight_passages",
+    _passages,
+    """SELECT id, place::INTEGER AS place, replace(replace(passage, 'failed', '<em class="highlight">failed</em>'), ' host', ' <em class="highlight">host</em>') AS passage FROM lines, (SELECT unnest([0, 1, 2]) AS place),
+    LATERAL (SELECT ['It failed at once. ', 'The ' || source || ' failed on a host.' || chr(10), 'Then ' || thread || ' failed on that host? '][place + 1] AS passage)""",
+)
 register("highlight", _highlight, """SELECT id, replace(message, 'error', '<em class="highlight">error</em>') AS fragment FROM lines WHERE event_type = 'error'""")
 
 # ---------------------------------------------------------------- aggregations
@@ -143,6 +179,19 @@ register("highlight", _highlight, """SELECT id, replace(message, 'error', '<em c
 _top = lambda field, n=10: f"SELECT {field} AS value, count(*) AS count FROM lines WHERE {field} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {n}"
 for _name, _field in (("level_distribution", "level"), ("top_loggers", "logger"), ("top_threads", "thread"), ("top_sources", "source"), ("top_hostnames", "hostname"), ("facet_environment", "environment")):
     register(_name, lambda s, d, f=_field: top_values(logs(s, d), f), _top(_field))
+HEAVY = {"user": "thread", "logger": "logger", "message": "message"}
+register(
+    "heavy_values",
+    lambda s, d: heavy_values(logs(s, d), (), 7, columns=HEAVY),
+    "SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{n}' AS field, {c} AS value, count(*) AS count FROM lines GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 7)" for n, c in HEAVY.items()) + ")",
+)
+register(
+    "rollup_summary",
+    lambda s, d: merged(rollup(logs(s, d)).where("day between '2024-01-05' and '2024-01-20'")),
+    """SELECT count(*) AS total_entries, count(*) FILTER (has_error) AS error_count, count(*) FILTER (level = 'WARN') AS warning_count, count(*) FILTER (has_stack_trace) AS stack_trace_count,
+    min(timestamp) AS start_time, max(timestamp) AS end_time, count(DISTINCT logger) AS unique_loggers, count(DISTINCT thread) AS unique_threads, count(DISTINCT source) AS unique_sources,
+    count(DISTINCT hostname) AS unique_hostnames, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // 1000000 AS time_span_seconds FROM lines WHERE timestamp::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+)
 FACETS = ("logger", "thread", "source", "hostname", "application")
 register("available_fields", lambda s, d: facets(logs(s, d), FACETS, 100), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, count(*) AS count FROM lines GROUP BY {f}" for f in FACETS) + ")")
 register(
@@ -278,22 +327,12 @@ register(
 register(
     "json_metadata_case",
     lambda s, d: parse_json(event_lines(s, d, F.to_json(F.struct(F.col("level").alias("LEVEL"), F.col("source").alias("Msg"), F.col("thread").alias("Shelf"), F.col("line_number").alias("seq")))), OPTS).select("line_number", "level", "message", F.element_at("metadata", "Shelf").alias("shelf"), F.size("metadata").alias("kept")),
-    "SELECT line_number, NULL::VARCHAR AS level, NULL::VARCHAR AS message, thread AS shelf, 2 AS kept FROM lines",
+    "SELECT line_number, NULL::VARCHAR AS level, NULL::VARCHAR AS message, thread AS shelf, 4 AS kept FROM lines",
 )
 
 # ---------------------------------------------------------------- files
 
 
-def fresh_folder(spark: SparkSession, name: str, suffix: str = "") -> str:
-    """A folder that isn't there yet, under the one that all machines share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="logloom-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}{suffix}"
-
-
 def log_files(spark: SparkSession, sf_dir: str, line: Column, suffix: str, head: str | None = None) -> str:
     """Events as log files under the folder that the cluster shares, four of them, by the users' numbers; the folder."""
     path = fresh_folder(spark, "logs", suffix)
@@ -337,6 +376,43 @@ def _job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("ingest_accounting", _job_counts, "SELECT 'COMPLETED' AS status, count(*) + 4 AS total_lines, count(*) FILTER (level NOT IN ('WARN', 'DEBUG')) AS successful_lines, count(*) FILTER (level = 'WARN') AS failed_lines FROM lines")
 
 
+def _charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four files, one in each charset, with the byte order mark that it begins with, read as one job."""
+    path = fresh_folder(spark, "charsets", ".log")
+    e = logs(spark, sf_dir).join(events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_number"), "user_id"), "line_number")
+    for part, (charset, mark) in enumerate((("UTF-8", b""), ("UTF-8", b"\xef\xbb\xbf"), ("UTF-16BE", b"\xfe\xff"), ("UTF-16LE", b"\xff\xfe"))):
+        rows = e.where(F.col("user_id") % 4 == part).select("line_number", F.encode("raw_line", charset).alias("line"))
+        rows = rows.join(F.broadcast(rows.agg(F.min("line_number").alias("first"))))
+        line = F.concat(F.when(F.col("line_number") == F.col("first"), F.lit(mark)).otherwise(F.lit(b"")), "line")
+        writer = rows.select("line_number", line.cast("string").alias("value")).repartition(1).sortWithinPartitions("line_number").select("value").write
+        (writer if charset == "UTF-8" else writer.option("encoding", charset).option("lineSep", "\n")).text(f"{path}/part={part}")
+    return _entries_of(spark, path)
+
+
+register("ingest_charsets", _charsets, NUMBERED + " SELECT part, n AS line_number, timestamp, level, trim(message) AS message, logger, thread FROM numbered")
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job of text files with stack traces, blank and loose lines tells of itself, as observed while it wrote its entries."""
+    path = fresh_folder(spark, "traces", ".log")
+    lines = trace_lines(spark, sf_dir).withColumn("event", F.floor((F.col("line_number") + 4) / 5))
+    rows = lines.join(events(spark, sf_dir).select((F.col("event_id") + 1).alias("event"), (F.col("user_id") % 4).alias("part")), "event")
+    rows.repartition(4, "part").sortWithinPartitions("part", "line_number").select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+    engine, job_id = _ingested(spark, path)
+    job = engine.job_status(job_id)
+    names = ("total_lines", "processed_lines", "successful_lines", "failed_lines", "skipped_lines", "continuation_lines", "success_rate", "bytes_read", "total_entries", "saved_entries", "failed_entries", "batches", "error_count", "inferred_timestamps", "split_traces")
+    kinds = ", ".join(f"{n} {'double' if n == 'success_rate' else 'long'}" for n in names)
+    return spark.createDataFrame([tuple(getattr(job, n) for n in names)], kinds)
+
+
+STATISTICS = """, of_files AS (SELECT *, max(CASE WHEN class IN ('B', 'E', 'I', 'M') THEN n END) OVER (PARTITION BY user_id % 4 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_in_file FROM five),
+told AS (SELECT m.*, CASE WHEN m.class IN ('S', 'U') AND l.class IN ('E', 'I') THEN m.last_in_file ELSE m.n END AS own_head FROM of_files m LEFT JOIN five l ON l.n = m.last_in_file),
+counted AS (SELECT count(*) AS total_lines, count(*) FILTER (class <> 'B' AND own_head = n) AS good, count(*) FILTER (class = 'B') AS blank, count(*) FILTER (own_head <> n) AS more, sum(strlen(line) + 1)::BIGINT AS bytes_read,
+  count(*) FILTER (own_head = n AND (class = 'E' OR class IN ('I', 'M') AND level = 'ERROR')) AS errors, count(*) FILTER (own_head = n AND class IN ('E', 'S', 'U')) AS inferred FROM told)
+SELECT total_lines, total_lines AS processed_lines, good AS successful_lines, 0::BIGINT AS failed_lines, blank AS skipped_lines, more AS continuation_lines, good * 100.0::DOUBLE / total_lines AS success_rate, bytes_read,
+  good AS total_entries, good AS saved_entries, 0::BIGINT AS failed_entries, (good + 999) // 1000 AS batches, errors AS error_count, inferred AS inferred_timestamps, 0::BIGINT AS split_traces FROM counted"""
+
+
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is told of files by a sample of their lines, whatever they are called."""
     kinds = {"text": F.col("raw_line"), "json": _json_line(), "csv": F.concat_ws(",", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "level", "source", "logger", "thread")}
@@ -395,7 +471,7 @@ register(
 )
 register(
     "job_accounting",
-    lambda s, d: line_accounting(line_status(assign_heads(match_lines(trace_lines(s, d), OPTS)))),
+    lambda s, d: line_accounting(text_status(trace_lines(s, d), OPTS)),
     TRACES
     + """ SELECT count(*) AS total_lines, count(*) FILTER (class <> 'B' AND head = n) AS successful_lines, 0::BIGINT AS failed_lines, count(*) FILTER (class = 'B') AS skipped_lines, count(*) FILTER (head <> n) AS continuation_lines,
     count(*) FILTER (class <> 'B' AND head = n) * 100.0::DOUBLE / count(*) AS success_rate FROM headed""",
@@ -406,6 +482,69 @@ register(
     "SELECT line_number, CASE level WHEN 'ERROR' THEN 'FAILED' WHEN 'WARN' THEN 'FAILED' WHEN 'DEBUG' THEN 'SKIPPED' ELSE 'SUCCESS' END AS parse_status, CASE level WHEN 'ERROR' THEN 'Not valid JSON' WHEN 'WARN' THEN 'JSON parse error' END AS error_message FROM lines",
 )
 
+register("ingest_statistics", _statistics, TRACES + STATISTICS)
+
+# ---------------------------------------------------------------- the engine's calls over an ingested job
+
+_jobs: dict[tuple[str, str], tuple[LogEngine, str]] = {}
+IN_FILE = "*part=1/*"
+
+
+def shop(spark: SparkSession, sf_dir: str) -> tuple[LogEngine, str]:
+    """An engine with the events' log files as a job, which is made once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _jobs:
+        _jobs[key] = _ingested(spark, log_files(spark, sf_dir, F.col("raw_line"), ".log"))
+    return _jobs[key]
+
+
+def call(name: str, query: Callable[[LogEngine, str], DataFrame], sql: str) -> None:
+    register(name, lambda s, d: query(*shop(s, d)), NUMBERED + sql)
+
+
+FOUND = dict(levels=("ERROR",), file_name=IN_FILE, sort_by="lineNumber", sort_direction="asc")
+call("engine_search", lambda e, j: e.search(LogQuery(j, **FOUND, page=1, size=40, include_fields=("lineNumber", "level", "thread", "timestamp")), posted=True).entries, " SELECT n AS line_number, level, thread, timestamp FROM numbered WHERE part = 1 AND level = 'ERROR' ORDER BY n LIMIT 40 OFFSET 40")
+call(
+    "engine_search_summary",
+    lambda e, j: e.search(LogQuery(j, search_text="signup user", search_fields=("message",))).summary.select("total_entries", "error_count", "warning_count", "start_time", "end_time", "unique_threads", "unique_hostnames"),
+    " SELECT count(*) AS total_entries, 0::BIGINT AS error_count, count(*) AS warning_count, min(timestamp) AS start_time, max(timestamp) AS end_time, count(DISTINCT thread) AS unique_threads, 0::BIGINT AS unique_hostnames FROM numbered WHERE source = 'signup'",
+)
+call("engine_search_levels", lambda e, j: e.search(LogQuery(j, file_name=IN_FILE)).level_counts, " SELECT level AS value, count(*) AS count FROM numbered WHERE part = 1 GROUP BY level")
+call(
+    "engine_search_highlights",
+    lambda e, j: e.search(LogQuery(j, **FOUND, search_text="error", search_fields=("message",), highlight=True, size=30)).highlights.select(F.element_at("highlights", "message")[0].alias("passage")),
+    " SELECT replace(trim(message), 'error', '<em class=\"highlight\">error</em>') AS passage FROM numbered WHERE part = 1 AND level = 'ERROR' ORDER BY n LIMIT 30",
+)
+call("engine_context", lambda e, j: e.context(j, 42, 5, 7, IN_FILE).select("line_number", "raw_line"), " SELECT n AS line_number, raw_line FROM numbered WHERE part = 1 AND n BETWEEN 37 AND 49")
+call("engine_count", lambda e, j: e.spark.createDataFrame([(e.count(LogQuery(j, has_error=True)), e.job_status(j).saved_entries)], "errors long, entries long"), " SELECT count(*) FILTER (level = 'ERROR') AS errors, count(*) AS entries FROM numbered")
+call("engine_result", lambda e, j: e.job_result(j), " SELECT 'total' AS name, count(*) AS count FROM numbered UNION ALL SELECT 'errors', count(*) FILTER (level = 'ERROR') FROM numbered UNION ALL SELECT level, count(*) FROM numbered GROUP BY level")
+call(
+    "engine_fields",
+    lambda e, j: e.fields(j),
+    " SELECT 'level' AS field, unnest(['ERROR', 'WARN', 'INFO', 'DEBUG', 'TRACE']) AS value, NULL::BIGINT AS count UNION ALL " + " UNION ALL ".join(f"SELECT '{f}', {f}, count(*) FROM numbered GROUP BY {f}" for f in ("logger", "thread", "source")),
+)
+call("engine_timeline", lambda e, j: e.timeline(j, "1d"), _timeline_sql("1d").replace(" FROM lines ", " FROM numbered "))
+call("engine_top_values", lambda e, j: e.top_values_of(j, ("logger", "thread"), 5), " SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{f}' AS field, {f} AS value, count(*) AS count FROM numbered GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)" for f in ("logger", "thread")) + ")")
+call("engine_rollups", lambda e, j: e.summary_of([j]).select("total_entries", "error_count", "warning_count", "start_time", "end_time", "unique_loggers", "unique_threads"), " SELECT count(*) AS total_entries, count(*) FILTER (level = 'ERROR') AS error_count, count(*) FILTER (level = 'WARN') AS warning_count, min(timestamp) AS start_time, max(timestamp) AS end_time, count(DISTINCT logger) AS unique_loggers, count(DISTINCT thread) AS unique_threads FROM numbered")
+
+
+def _exported(engine: LogEngine, job_id: str, kind: str) -> DataFrame:
+    """An export of one file's errors, read again: as one JSON text, or as files of JSON lines."""
+    q, opts = LogQuery(job_id, **FOUND), ExportOptions(kind, max_records=2000)
+    names = ("line_number", "level", "message", "timestamp")
+    if kind == "json":
+        rows = [tuple(o[n] for n in names) for o in json.loads("".join(engine.export(q, opts)))]
+        found = engine.spark.createDataFrame(rows, "line_number long, level string, message string, timestamp string")
+    else:
+        path = fresh_folder(engine.spark, "export")
+        engine.write_export(q, path, opts)
+        found = engine.spark.read.schema("line_number long, level string, message string, timestamp string").json(path)
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+for _kind in ("json", "ndjson"):
+    call(f"engine_export_{_kind}", lambda e, j, k=_kind: _exported(e, j, k), " SELECT n AS line_number, level, trim(message) AS message, timestamp FROM numbered WHERE part = 1 AND level = 'ERROR' ORDER BY n LIMIT 2000")
+
 # ---------------------------------------------------------------- text functions and export
 
 register(

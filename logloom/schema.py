@@ -45,6 +45,18 @@ def column_name(name: str) -> str:
     return CAMEL.get(name, name)
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """The record's columns in order and type; those that `df` lacks are null."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_ENTRY_SCHEMA])
+#: What a parser tells of a line, or of the lines that one entry has, beside the entry: what became of it, why it failed, the number of
+#: lines, and of the parts of its stack trace.
+STATUS = ("parse_status", "error_message", "lines", "parts")
+#: The statuses of rows that have an entry.
+HAS_ENTRY = ("SUCCESS", "BUFFERED")
+
+
+def conform(df: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The record's columns in order and type, those that `df` lacks null, and `more` of `df`'s."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_ENTRY_SCHEMA], *more)
+
+
+def entries_of(records: DataFrame) -> DataFrame:
+    """The entries among a parser's records."""
+    return conform(records.where(F.col("parse_status").isin(*HAS_ENTRY)))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..errors import InvalidFileTypeError
-from ..operators.csvlog import parse_csv
-from ..operators.jsonlog import parse_json
-from ..operators.textlog import parse_text
+from ..operators.csvlog import csv_records, parse_csv
+from ..operators.jsonlog import json_records, parse_json
+from ..operators.textlog import parse_text, text_records
 from ..options import ParseOptions
 
 SAMPLE_LINES = 10
@@ -65,7 +66,11 @@ def can_parse_text(name: str | None, sample: str | None) -> bool:
 
 @dataclass(frozen=True)
 class Parser:
-    """A format: what makes its entries from lines, and what tells whether a file has it."""
+    """A format: what makes its entries from lines, and what tells whether a file has it.
+
+    `read` gives a row for each line, or for all lines of an entry, with `STATUS` and the entry's columns: entries and accounting
+    come from it, in one pass.  A parser with `parse` alone gives entries; lines with text that have none count as failed.
+    """
 
     format: str
     priority: int
@@ -73,6 +78,16 @@ class Parser:
     parse: Parse
     multi_line: bool = False
     description: str = ""
+    read: Parse | None = None
+
+    def records(self, lines: DataFrame, opts: ParseOptions) -> DataFrame:
+        if self.read:
+            return self.read(lines, opts)
+        entries = self.parse(lines, opts)
+        # of several entries of a line the first one stands for it
+        line = Window.partitionBy("file_name", "line_number").orderBy("id")
+        first = (F.row_number().over(line) == 1).cast("long")
+        return entries.withColumns({"parse_status": F.lit("SUCCESS"), "error_message": F.lit(None).cast("string"), "lines": first, "parts": F.lit(1).cast("long")})
 
 
 class Registry:
@@ -115,9 +130,9 @@ class Registry:
 
 
 BUILT_IN = [
-    Parser("JSON", 20, can_parse_json, parse_json, description="one JSON object a line"),
-    Parser("CSV", 10, can_parse_csv, parse_csv, description="delimited lines, with or without a header"),
-    Parser("TEXT", 0, can_parse_text, parse_text, multi_line=True, description="six grammars of log lines, with stack traces over many"),
+    Parser("JSON", 20, can_parse_json, parse_json, description="one JSON object a line", read=json_records),
+    Parser("CSV", 10, can_parse_csv, parse_csv, description="delimited lines, with or without a header", read=csv_records),
+    Parser("TEXT", 0, can_parse_text, parse_text, multi_line=True, description="six grammars of log lines, with stack traces over many", read=text_records),
 ]
 
 

@@ -105,8 +105,8 @@ def test_json(read):
         '{"timestamp":"2024-01-15T10:30:45.123","level":"info","message":"shop is open"}',
         '{"@timestamp":"2024-01-15T10:30:45.123Z","level":"CRITICAL","message":"no link","host":"depot1"}',
         '{"name":"till.front","hostname":"depot1","pid":771,"level":30,"msg":"shelf counted","time":"2024-01-15T10:30:45.123Z"}',
-        '{"timestamp":1705315845123,"message":"test"}',
-        '{"level":"error","logger":"org.till.Drawer","thread":"main","stack_trace":"x\\ny","application":"a","environment":"e","service":"s","cartId":123,"context":{"a":[1]},"tags":["t1","t2"],"Level":"dropped","none":null}',
+        '{"timestamp":1705315845777,"message":"till counted"}',
+        '{"level":"error","logger":"org.till.Drawer","thread":"main","stack_trace":"x\\ny","application":"a","environment":"e","service":"s","cartId":123,"context":{"a":[1]},"tags":["t1","t2"],"Level":"kept","none":null}',
         '[{"message":"one"},{"message":"two"}]',
         '{"exception":"boom","timestamp":"2024-01-15 10:30:45"}',
     ]
@@ -114,9 +114,9 @@ def test_json(read):
     assert (r[0]["level"], r[0]["message"], r[0]["timestamp"], r[0]["has_error"]) == ("INFO", "shop is open", AT.replace(microsecond=123000), False)
     assert (r[1]["level"], r[1]["hostname"], r[1]["has_error"]) == ("ERROR", "depot1", True)
     assert (r[2]["level"], r[2]["logger"], r[2]["source"], r[2]["metadata"]) == ("30", "till.front", "front", {"pid": "771"})
-    assert r[3]["timestamp"] == datetime(2024, 1, 15, 10, 50, 45, 123000) and r[3]["level"] is None and r[3]["has_error"] is None
+    assert r[3]["timestamp"] == datetime(2024, 1, 15, 10, 50, 45, 777000) and r[3]["level"] is None and r[3]["has_error"] is None
     assert (r[4]["source"], r[4]["thread"], r[4]["stack_trace"], r[4]["has_stack_trace"], r[4]["application"], r[4]["tags"]) == ("Drawer", "main", "x\ny", True, "a", ["t1", "t2"])
-    assert r[4]["metadata"] == {"cartId": "123", "context": '{"a":[1]}'}
+    assert r[4]["metadata"] == {"cartId": "123", "context": '{"a":[1]}', "Level": "kept"}
     assert r[5]["message"] is None and r[5]["raw_line"] == lines[5]
     assert (r[6]["has_error"], r[6]["level"], r[6]["timestamp"]) == (True, None, AT)
     status = read(lambda df, o: json_status(df), ['{"level":"INFO","message":', "This is not JSON", "{bad}", "", None, "{}"])
