@@ -43,7 +43,8 @@ class Encoder:
 
     Two more things save work, neither of which the tokenizer can tell: capitals of strings that have only ASCII and
     the letters of Latin-1 are lower-cased first, as the tokenizer does, and marks at a string's end, after such a
-    letter or a digit, are a string of their own.
+    letter or a digit, are a string of their own.  Strings with an added token, which the tokenizer looks for before
+    it lower-cases, in any case are left as they are.
     """
 
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -65,6 +66,7 @@ class Encoder:
         #: Ids that end a word: each of these words has one, its last.
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -109,9 +111,12 @@ class Encoder:
 
     def _parts(self, strings: pa.Array) -> pa.Array:
         """Each string's core and its tail, which may be empty, one after the other."""
-        simple = pc.match_substring_regex(strings, self.SIMPLE)
+        free = pa.array(np.ones(len(strings), bool))
+        for token in self.added:
+            free = pc.and_not(free, pc.match_substring(strings, token, ignore_case=True))
+        simple = pc.and_(free, pc.match_substring_regex(strings, self.SIMPLE))
         strings = pc.if_else(simple, pc.utf8_lower(strings), strings)
-        cut = pc.match_substring_regex(strings, self.MARKED)
+        cut = pc.and_(free, pc.match_substring_regex(strings, self.MARKED))
         core = pc.if_else(cut, pc.utf8_rtrim(strings, self.MARKS), strings)
         _, offsets, data = strings.buffers()
         at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]

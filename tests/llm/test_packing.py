@@ -163,3 +163,17 @@ def test_ranks_are_dealt_out(spark):
 def test_ids_on_request(docs):
     r = token_pieces(docs([(1, "hello")]), PATH, with_ids=True).first()
     assert np.frombuffer(r["ids"], "<u4")[-1] == 1 and r["length"] == len(r["ids"]) // 4
+
+
+def test_added_tokens_in_any_case():
+    """The tokenizer looks for them as they are written, before it lower-cases."""
+    r, encode, whole = random.Random(8), Encoder(PATH).encode, Tokenizer.from_file(PATH)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert added
+    parts = ["a", "Word", "ÉTÉ", "'s", "!", "12", "<", "|", "🙂", ">", ".", "", "", ""]
+    cased = lambda t: r.choice([t, t.upper(), t.title(), t.swapcase(), "".join(r.choice((c, c.upper())) for c in t)])
+    texts = [" ".join("".join(cased(r.choice(added)) if r.random() < 0.4 else r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 6))) for _ in range(20_000)]
+    flat, at = encode(pa.array(texts))
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    wrong = [t for k, t in enumerate(texts) if flat[at[k] : at[k + 1]].tolist() != want[k]]
+    assert not wrong, wrong[:5]
