@@ -8,7 +8,12 @@ writes its own again and no executor's disk matters.
 
 The converter reads each ARC's version block, takes the header lines that follow by
 that version's columns and the bodies by their declared lengths, and makes up what
-WARC needs besides: record ids, timestamps, record types and digests.
+WARC needs besides: record ids, timestamps, record types and digests.  A body that is an
+HTTP response, its head ended by CRLF or by bare LF, becomes a `response`; any other, of `dns:`
+or `ftp:` say, is its own payload and becomes a `resource` of the ARC line's type.
+
+What can't be read, an archive's rest from a record of wrong length on or a broken gzip member, is left out, and
+`archive_faults` tells of each with the archive's name.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from typing import NamedTuple
 from urllib.parse import quote
 
@@ -31,7 +37,10 @@ ARCHIVE_BYTES = 1 << 20
 #: Payloads under this size are never revisits.
 LEAST_REVISIT = 100
 LEVEL = 3
-RECORD_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
+#: Repeated payloads that are sent to every task, 40 bytes each; with more of them each archive gets its own records' answers.
+BROADCAST_REPEATS = 1 << 19
+#: What a date of fewer than 14 digits is filled up with.
+DATE_REST = "00000101000000"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns of the header lines, by ARC version.
 ARC_COLUMNS = {
@@ -56,9 +65,11 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of each gzip member."""
+    """(start, end, content) of each gzip member; zeros may fill up the rest."""
     at, step = 0, 1 << 15
     while at < len(data):
+        if data[at] == 0 and not data[at:].strip(b"\0"):
+            return
         unpack, start, parts = zlib.decompressobj(31), at, []
         while not unpack.eof:
             piece = data[at : at + step]
@@ -77,36 +88,65 @@ def _contents(data: bytes) -> Iterator[tuple[bytes, bytes | None]]:
         yield data, None
 
 
-def arc_records(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(version, record, the record in a gzip member of its own) of an ARC archive, without its version block."""
-    version = 0
-    for content, packed in _contents(data):
-        at = _after_blanks(content, 0)
-        while at < len(content):
-            cut = content.find(b"\n", at)
-            end = cut + 1 + int(content[at:cut].rsplit(b" ", 1)[1])  # the length is the last column of both versions
-            if cut < 0 or end > len(content):
-                raise ValueError("an ARC record is shorter than its declared length")
-            after = _after_blanks(content, end)
-            record = content[at:end]
-            if version:
-                alone = packed is not None and content[:at].strip(b"\r\n") == b"" and after == len(content)
-                yield version, record, packed if alone else member(record)
-            else:
-                version = arc_version(record)
-            at = after
-
-
-def warc_records(data: bytes) -> Iterator[bytes]:
-    """The records of a WARC archive."""
-    for content, _ in _contents(data):
-        at = _after_blanks(content, 0)
-        while at < len(content):
-            cut = content.find(b"\r\n\r\n", at)
-            head = content[at:cut].lower()
-            end = cut + 4 + int(head.partition(b"\r\ncontent-length:")[2].partition(b"\r\n")[0])
-            yield content[at:end]
-            at = _after_blanks(content, end)
+def safely(parts: Iterator, faults: list[str] | None) -> Iterator:
+    """`parts` up to the first that can't be read; why it can't goes to `faults`, or is raised if there is no such list."""
+    try:
+        yield from parts
+    except (ValueError, IndexError, KeyError, zlib.error) as e:
+        if faults is None:
+            raise
+        faults.append(str(e) or type(e).__name__)
+
+
+def arc_records(data: bytes, faults: list[str] | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+    """(version, record, the record in a gzip member of its own) of an ARC archive, without its version block.
+
+    With a list for `faults`, what follows a record that can't be read is left out up to the next gzip member.
+    """
+    version = [0]
+    for content, packed in safely(_contents(data), faults):
+        yield from safely(_arc_records(content, packed, version), faults)
+
+
+def _arc_records(content: bytes, packed: bytes | None, known: list[int]) -> Iterator[tuple[int, bytes, bytes]]:
+    at = _after_blanks(content, 0)
+    while at < len(content):
+        version = known[0]
+        cut = content.find(b"\n", at)
+        length = content[at:cut].rsplit(b" ", 1)[-1] if cut > 0 else b""  # the last column of both versions
+        if not length.isdigit():
+            raise ValueError("an ARC record's header line has no length")
+        end = cut + 1 + int(length)
+        if end > len(content):
+            raise ValueError("an ARC record is shorter than its declared length")
+        after = _after_blanks(content, end)
+        record = content[at:end]
+        if version:
+            alone = packed is not None and content[:at].strip(b"\r\n") == b"" and after == len(content)
+            yield version, record, packed if alone else member(record)
+        else:
+            known[0] = arc_version(record)
+        at = after
+
+
+def warc_records(data: bytes, faults: list[str] | None = None) -> Iterator[bytes]:
+    """The records of a WARC archive; `faults` as in `arc_records`."""
+    for content, _ in safely(_contents(data), faults):
+        yield from safely(_warc_records(content), faults)
+
+
+def _warc_records(content: bytes) -> Iterator[bytes]:
+    at = _after_blanks(content, 0)
+    while at < len(content):
+        cut = content.find(b"\r\n\r\n", at)
+        length = content[at : max(cut, at)].lower().partition(b"\r\ncontent-length:")[2].partition(b"\r\n")[0].strip()
+        if not length.isdigit():
+            raise ValueError("a WARC record's head has no length")
+        end = cut + 4 + int(length)
+        if end > len(content):
+            raise ValueError("a WARC record is shorter than its declared length")
+        yield content[at:end]
+        at = _after_blanks(content, end)
 
 
 def _after_blanks(content: bytes, at: int) -> int:
@@ -122,8 +162,8 @@ def arc_head(version: int, name: str, date: str) -> bytes:
     return " ".join(fields).encode() + b"\n" + block
 
 
-def arc_record(version: int, url: str, date: str, body: bytes, status: int = 200, name: str = "-", offset: int = 0) -> bytes:
-    fields = [url, "0.0.0.0", date, "text/html"] + ([str(status), "-", "-", str(offset), name] if version == 2 else []) + [str(len(body))]
+def arc_record(version: int, url: str, date: str, body: bytes, status: int = 200, name: str = "-", offset: int = 0, kind: str = "text/html") -> bytes:
+    fields = [url, "0.0.0.0", date, kind] + ([str(status), "-", "-", str(offset), name] if version == 2 else []) + [str(len(body))]
     return " ".join(fields).encode() + b"\n" + body + b"\n"
 
 
@@ -151,15 +191,23 @@ def parse_arc_record(version: int, record: bytes) -> ArcRecord:
 
 
 def http_status(body: bytes) -> int | None:
-    first = body.split(b"\r\n", 1)[0].split(b" ")
+    first = body.split(b"\n", 1)[0].strip().split(b" ")
     return int(first[1]) if first[0].startswith(b"HTTP/") and len(first) > 1 and first[1].isdigit() else None
 
 
+def http_head(body: bytes) -> int:
+    """The length of an HTTP response's head, with the blank line that ends it; 0 for a body that is no HTTP response."""
+    if not body.startswith(b"HTTP/"):
+        return 0
+    ends = [at + len(mark) for mark in (b"\r\n\r\n", b"\n\n", b"\n\r\n") if (at := body.find(mark)) >= 0]
+    return min(ends) if ends else len(body)
+
+
 def http_parts(body: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and payload of an HTTP response."""
-    head, _, payload = body.partition(b"\r\n\r\n")
-    fields = (line.decode(errors="replace").partition(":") for line in head.split(b"\r\n")[1:])
-    return {name.lower(): value.strip() for name, _, value in fields}, payload
+    """Header fields (names in lower case) and payload of an HTTP response; any other body is payload as a whole."""
+    cut = http_head(body)
+    fields = (line.decode(errors="replace").partition(":") for line in body[:cut].split(b"\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in fields if name.strip()}, body[cut:]
 
 
 def http_response(payload: bytes, page_id: int | None) -> bytes:
@@ -208,31 +256,69 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(archives: DataFrame, with_records: bool = True) -> DataFrame:
-    """A row per record of ARC archives: page_id (of the record's X-Page-Id, else null), digest, payload_bytes
-    and, if asked for, version and record, a gzip member."""
+    """A row per record of ARC archives: name, number (of the record in its archive), page_id (of the record's X-Page-Id, else
+    null), digest, payload_bytes and, if asked for, version and record, a gzip member."""
 
     def run(batches):
         for b in batches:
-            for data in b.column(0):
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for version, record, packed in arc_records(data.as_py()):
+                for number, (version, record, packed) in enumerate(arc_records(data.as_py(), [])):
                     fields, payload = http_parts(parse_arc_record(version, record).body)
-                    page = fields.get("x-page-id")
-                    rows.append((int(page) if page else None, hashlib.sha256(payload).digest(), len(payload), version, packed))
+                    rows.append((name, number, whole_number(fields.get("x-page-id")), hashlib.sha256(payload).digest(), len(payload), version, packed))
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())]
-                    if with_records:
-                        arrays += [pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()][: len(names)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
-    schema = "page_id long, digest binary, payload_bytes long" + (", version int, record binary" if with_records else "")
+    schema = "name string, number long, page_id long, digest binary, payload_bytes long" + (", version int, record binary" if with_records else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return archives.select("data").mapInArrow(run, schema)
+    return archives.select("name", "data").mapInArrow(run, schema)
+
+
+def archive_faults(archives: DataFrame, kind: str = "arc") -> DataFrame:
+    """(name, fault): a row for each place at which an archive (`arc` or `warc`) can't be read."""
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                faults: list[str] = []
+                for _ in (arc_records if kind == "arc" else warc_records)(data.as_py(), faults):
+                    pass
+                if faults:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(faults)), pa.array(faults)], names=["name", "fault"])
+
+    return archives.select("name", "data").mapInArrow(run, "name string, fault string")
+
+
+def whole_number(text: str | None) -> int | None:
+    return int(text) if text and text.removeprefix("-").isdigit() and abs(int(text)) < 1 << 63 else None
 
 
 def record_id(page_id: int | None, digest: bytes) -> str:
-    return f"<urn:uuid:{uuid.uuid5(RECORD_IDS, f'{page_id}:{digest.hex()}')}>"
+    """A UUID of version 8: the page's id, whether it has one, and the first 57 bits of the payload's digest."""
+    value = ((page_id or 0) & (1 << 64) - 1) << 58 | (page_id is None) << 57 | int.from_bytes(digest[:8], "big") >> 7
+    return f"<urn:uuid:{uuid.UUID(int=value >> 74 << 80 | 8 << 76 | (value >> 62 & 0xFFF) << 64 | 2 << 62 | value & (1 << 62) - 1)}>"
+
+
+def page_of_id(text: str | None) -> int | None:
+    """The page of a `record_id`; null for other writers' ids."""
+    try:
+        value = uuid.UUID((text or "").strip().removeprefix("<urn:uuid:").removesuffix(">"))
+    except ValueError:
+        return None
+    n = value.int
+    whole = n >> 80 << 74 | (n >> 64 & 0xFFF) << 62 | n & (1 << 62) - 1
+    page = whole >> 58
+    return None if value.version != 8 or whole >> 57 & 1 else page - (page >> 63 << 64)
+
+
+def warc_date(date: str) -> str:
+    """The ARC date, 4 to 14 digits, as WARC writes it; the start of 1970 for one that is no date."""
+    d = date + DATE_REST[len(date) :]
+    try:
+        return datetime.strptime(d, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if d.isdigit() else "1970-01-01T00:00:00Z"
+    except ValueError:
+        return "1970-01-01T00:00:00Z"
 
 
 def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -251,29 +337,31 @@ def parse_warc_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def converted(arc: ArcRecord, digest: bytes, page_id: int | None, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record; with `refers_to` a revisit of that page's response."""
-    d = arc.date.ljust(14, "0")
-    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    head, cut, payload = arc.body.partition(b"\r\n\r\n")
-    block = arc.body if refers_to is None else head + cut
-    fields = [("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", when), ("WARC-Target-URI", arc.url), ("WARC-IP-Address", arc.ip)]
-    fields += [("WARC-Payload-Digest", f"sha256:{digest.hex()}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(payload)))]
+    """The WARC record of an ARC record; with `refers_to` a revisit of that page's record."""
+    cut = http_head(arc.body)
+    http = cut > 0
+    block = arc.body if refers_to is None else arc.body[:cut]
+    fields = [("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", warc_date(arc.date)), ("WARC-Target-URI", arc.url), ("WARC-IP-Address", arc.ip)]
+    fields += [("WARC-Payload-Digest", f"sha256:{digest.hex()}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Type", "application/http; msgtype=response" if http else arc.content_type), ("X-Payload-Length", str(len(arc.body) - cut))]
     if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))]
-    return warc_record("response" if refers_to is None else "revisit", fields, block)
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
+    return warc_record("revisit" if refers_to is not None else "response" if http else "resource", fields, block)
 
 
-def arc_to_warc(archives: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+def arc_to_warc(archives: DataFrame, least_revisit: int = LEAST_REVISIT, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
     """(name, data): WARC archives of the records of ARC archives.
 
     Of records with equal payloads of at least `least_revisit` bytes, that with the
     smallest page_id is a response and the others are revisits of it; a record without
-    an id is never the one referred to.
+    an id is never the one referred to.  Which is which is found from digests and ids alone.
     """
     light = read_arc(archives, with_records=False).where(F.col("payload_bytes") >= least_revisit)
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    # Written, so that Spark knows its size when it chooses how to join it.
-    records = read_arc(archives).join(written(first, "repeated-payloads"), "digest", "left")
+    first = light.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("_n")).where("_n > 1 and first_page is not null").drop("_n")
+    first = written(first, "repeated-payloads")
+    if first.count() <= broadcast_repeats:
+        records = read_arc(archives).join(F.broadcast(first), "digest", "left").select("page_id", "digest", "version", "record", "first_page")
+    else:
+        records = _answered(archives, light, first)
 
     def run(batches):
         from pyspark import TaskContext
@@ -290,32 +378,54 @@ def arc_to_warc(archives: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{number:05d}.warc.gz"]), pa.array([b"".join(parts)], pa.binary())], names=["name", "data"])
 
-    return records.select("page_id", "digest", "version", "record", "first_page").mapInArrow(run, "name string, data binary")
+    return records.mapInArrow(run, "name string, data binary")
+
+
+def _answered(archives: DataFrame, light: DataFrame, first: DataFrame, salts: int = 64) -> DataFrame:
+    """The records with their first page, without a join that carries records: the answers are found by digest and a salt, as one
+    payload may be a third of all, and each archive looks up those of its own records."""
+    salted = light.select("name", "number", "digest", F.pmod(F.xxhash64("name", "number"), F.lit(salts)).alias("salt"))
+    found = salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["digest", "salt"])
+    answers = found.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("number", "first_page"))).alias("answers"))
+
+    def run(batches):
+        for b in batches:
+            for data, answers in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                known, rows = dict(answers or ()), []
+                for number, (version, record, packed) in enumerate(arc_records(data.as_py(), [])):
+                    fields, payload = http_parts(parse_arc_record(version, record).body)
+                    rows.append((whole_number(fields.get("x-page-id")), hashlib.sha256(payload).digest(), version, packed, known.get(number)))
+                if rows:
+                    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "digest", "version", "record", "first_page"])
+
+    return archives.join(answers, "name", "left").select("data", "answers").mapInArrow(run, "page_id long, digest binary, version int, record binary, first_page long")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """A row per record of WARC archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, html
     (null for a revisit).  A response whose payload isn't that of its SHA-256 digest is an error; of other writers'
     records, digests of other kinds aren't checked, and what a revisit doesn't tell is null.  Other types of records
-    than responses and revisits are left out."""
+    than responses, resources and revisits are left out, and so is what can't be read (`archive_faults`)."""
 
     def run(batches):
         for b in batches:
             for data in b.column(0):
                 rows = []
-                for record in warc_records(data.as_py()):
+                for record in warc_records(data.as_py(), []):
                     fields, block = parse_warc_record(record)
-                    kind = fields["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    kind = fields.get("warc-type")
+                    if kind not in ("response", "resource", "revisit"):
                         continue
                     http, payload = http_parts(block)
-                    told, own = fields.get("warc-payload-digest", ""), hashlib.sha256(payload).hexdigest() if kind == "response" else None
+                    told, own = fields.get("warc-payload-digest", ""), None if kind == "revisit" else hashlib.sha256(payload).hexdigest()
                     digest = told.removeprefix("sha256:") if told.startswith("sha256:") else own
                     if own is not None and own != digest:
                         raise ValueError(f"{fields.get('warc-record-id')}: the payload isn't that of its digest")
-                    page, refers, size = http.get("x-page-id"), fields.get("x-refers-to-page"), fields.get("x-payload-length")
-                    length = int(size) if size else len(payload) if own is not None else None
-                    rows.append((int(page) if page else None, length, digest, kind, int(refers) if refers else None, fields.get("warc-target-uri"), fields.get("warc-date"), payload.decode(errors="replace") if own is not None else None))
+                    length = whole_number(fields.get("x-payload-length"))
+                    length = length if length is not None else len(payload) if own is not None else None
+                    refers = page_of_id(fields.get("warc-refers-to")) if kind == "revisit" else None
+                    rows.append((whole_number(http.get("x-page-id")), length, digest, kind, refers, fields.get("warc-target-uri"), fields.get("warc-date"), payload.decode(errors="replace") if own is not None else None))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
