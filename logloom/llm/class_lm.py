@@ -4,9 +4,11 @@ Words belong to classes; a token's probability is that of its class after the cl
 before it, times that of the word in its class.  The classes come from exchange
 clustering: every word moves to the class that gives the training bigrams the highest
 likelihood.  The most frequent words (`CORE_WORDS`) move one at a time, until none
-does.  Then all words that tasks know (`FREQUENT`) move in distributed sweeps, each
-against the classes of the last one, until a sweep adds next to nothing (Uszkoreit and
-Brants, 2008, distribute the exchange alike).  Words still rarer move in groups, by
+does.  Then all words that tasks know (`FREQUENT`) move in distributed sweeps (Uszkoreit and
+Brants, 2008, distribute the exchange alike): each word's best class is found against the classes as
+they are, and a share of those that would move, chosen by hash, does.  A sweep that lowers the likelihood is
+taken back and a smaller share moves, and sweeps go on until few words would move.  Each word's neighbours are written once, so
+that a sweep is a map over them and shuffles nothing.  Words still rarer move in groups, by
 their last bytes and length.
 
 Counts are over all training texts.  The word and bigram counts grow with the corpus
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import among_top, written
-from .words import Words, word_chunks
+from .words import Words, mix, word_chunks
 
 #: Words that are clustered one by one to begin with, groups of the rarest, classes.
 CORE_WORDS = 800
@@ -33,8 +35,16 @@ GROUPS = 200
 CLASSES = 48
 #: Words whose counts and classes every task holds: 17 bytes each.
 FREQUENT = 1 << 18
-#: A sweep that adds less than this share to the classes' mutual information is the last.
-LEAST_GAIN = 0.002
+#: Sweeps end when fewer than this share of the symbols would move, or not even the smallest share of those can.  In the first
+#: sweep all may move; later, when neighbours move to and fro together, half of them come to rest sooner.
+MOVES_LEFT = 0.02
+SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Entries of a block of neighbours, 12 bytes each; a word's entries stay together.
+BLOCK_ENTRIES = 1 << 16
+#: Pairs that a task gathers before it sums them, and a part's at most, as there are at least so many parts.
+PART_ENTRIES = 1 << 22
+#: Counts up to this are looked up when gains are computed.
+SMALL = 64
 END = 0  # the hash of the token that ends a text
 #: Share of the class-transition probability that comes from the class's own frequency.
 BACK_OFF = 0.05
@@ -95,33 +105,118 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "word long, group int, n long").groupBy("word", "group").agg(F.sum("n").alias("n"))
 
 
-def symbol_bigrams(df: DataFrame, text_col: str, symbols: Symbols) -> DataFrame:
-    """(pair, n): counts of symbol pairs (left * size + right), a text beginning and ending with the end symbol."""
+def summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs in order, and the sum of each one's counts."""
+    pair, n = np.concatenate([np.zeros(0, np.int64), *pairs]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(pair, kind="stable")
+    pair, n = pair[order], n[order]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    return pair[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
+def dealt(symbols: np.ndarray, columns: list[np.ndarray], parts: int, names: list[str]):
+    """A row for each part, with the entries of its symbols as bytes: what is shuffled is a few long rows."""
+    part = (mix(symbols.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    bounds = [*starts.tolist(), len(part)]
+    if len(starts):
+        packed = [pa.array([c[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *packed], names=names)
+
+
+def symbol_bigrams(df: DataFrame, text_col: str, symbols: Symbols, parts: int) -> DataFrame:
+    """(part, pairs, counts), numpy arrays as bytes: counts of symbol pairs (left * size + right), those of a left symbol in one part,
+    summed as far as a task has read.  A text begins and ends with the end symbol."""
     size, shared = symbols.size, df.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches):
+        pairs, counts, waiting = [], [], 0
         for b in batches:
             for w in word_chunks(b.column(0), 1 << 22):
                 left, right = with_ends(shared.value.of(w), w.bounds)
                 pair, n = np.unique(left * size + right, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+                pairs.append(pair)
+                counts.append(n)
+                waiting += len(pair)
+                if waiting > PART_ENTRIES:
+                    pair, n = summed(pairs, counts)
+                    yield from dealt(pair // size, [pair, n], parts, ["part", "pairs", "counts"])
+                    pairs, counts, waiting = [], [], 0
+        pair, n = summed(pairs, counts)
+        yield from dealt(pair // size, [pair, n], parts, ["part", "pairs", "counts"])
 
-    return df.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return df.select(text_col).mapInArrow(run, "part int, pairs binary, counts binary")
 
 
-def class_table(bigrams: DataFrame, size: int, classes: np.ndarray, kinds: int) -> np.ndarray:
+def neighbour_blocks(bigrams: DataFrame, size: int, parts: int) -> DataFrame:
+    """(symbols, sizes, others, counts), numpy arrays as bytes: each symbol's neighbours, 2 * right or 2 * left + 1, and how often.
+
+    A symbol has at most two entries for each other one, so none is more than a few blocks.
+    """
+
+    def sides(batches):
+        pairs, counts, waiting = [], [], 0
+        for b in batches:
+            for packed, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                pairs.append(np.frombuffer(packed, np.int64))
+                counts.append(np.frombuffer(n, np.int64))
+                waiting += len(pairs[-1])
+                if waiting > PART_ENTRIES:
+                    pair, n = summed(pairs, counts)
+                    pairs, counts, waiting = [pair], [n], 0
+        pair, n = summed(pairs, counts)
+        left, right = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        names = ["part", "symbols", "others", "counts"]
+        for first in range(0, len(pair), PART_ENTRIES):
+            here = slice(first, first + PART_ENTRIES)
+            yield from dealt(left[here], [left[here], right[here] * 2, n[here]], parts, names)
+            yield from dealt(right[here], [right[here], left[here] * 2 + 1, n[here]], parts, names)
+
+    def blocks(batches):
+        columns = [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]]
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                for c, x, kind in zip(columns, row, (np.int32, np.int32, np.int64), strict=True):
+                    c.append(np.frombuffer(x, kind))
+        symbol, other, n = (np.concatenate(c) for c in columns)
+        order = np.argsort(symbol, kind="stable")
+        symbol, other, n = symbol[order], other[order], n[order]
+        starts = np.flatnonzero(np.diff(symbol, prepend=-1))
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK_ENTRIES, "right")) - 1)
+            end = int(starts[last]) if last < len(starts) else len(symbol)
+            here = slice(int(starts[first]), end)
+            arrays = [symbol[starts[first:last]], np.diff(np.append(starts[first:last], end)).astype(np.int32), other[here], n[here]]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["symbols", "sizes", "others", "counts"])
+            first = last
+
+    both = bigrams.repartition(parts, "part").mapInArrow(sides, "part int, symbols binary, others binary, counts binary")
+    return both.repartition(parts, "part").mapInArrow(blocks, "symbols binary, sizes binary, others binary, counts binary")
+
+
+def unpacked(batches):
+    """(symbols, sizes, others, counts) of blocks."""
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield tuple(np.frombuffer(x, kind) for x, kind in zip(row, (np.int32, np.int32, np.int32, np.int64), strict=True))
+
+
+def class_table(blocks: DataFrame, classes: np.ndarray, kinds: int) -> np.ndarray:
     """Counts of pairs of classes, from those of symbols; a task sends one table's entries."""
-    shared = bigrams.sparkSession.sparkContext.broadcast(classes.astype(np.int32))
+    shared = blocks.sparkSession.sparkContext.broadcast(classes.astype(np.int32))
 
     def run(batches):
         total, of = np.zeros(kinds * kinds), shared.value
-        for b in batches:
-            pair, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            total += np.bincount(of[pair // size] * kinds + of[pair % size], n, kinds * kinds)
+        for symbols, sizes, others, counts in unpacked(batches):
+            right = np.flatnonzero(others % 2 == 0)
+            total += np.bincount(np.repeat(of[symbols], sizes)[right].astype(np.int64) * kinds + of[others[right] // 2], counts[right], kinds * kinds)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    rows = bigrams.select("pair", "n").mapInArrow(run, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = blocks.mapInArrow(run, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(kinds * kinds)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(kinds, kinds)
@@ -137,70 +232,74 @@ def entropy(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def sweep(bigrams: DataFrame, size: int, classes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Every symbol's best class, given the classes of all others as they are.
-
-    A symbol's counts before and after each class come from a sum by symbol and class with map-side combining; at most
-    two classes' number of rows for each symbol that tasks know.  The driver gets the symbols that move.
-    """
-    kinds = len(table)
-    shared = bigrams.sparkSession.sparkContext.broadcast((classes.astype(np.int32), table))
-
-    def beside(batches):
-        of, _ = shared.value
-        for b in batches:
-            pair, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            left, right = pair // size, pair % size
-            key = np.concatenate([left * 2 * kinds + of[right], right * 2 * kinds + kinds + of[left]])
-            key, place = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key // (2 * kinds)), pa.array((key % (2 * kinds)).astype(np.int32)), pa.array(np.bincount(place, np.concatenate([n, n])))], names=["symbol", "slot", "n"])
+def best_classes(symbols: np.ndarray, sizes: np.ndarray, others: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class in which each symbol of a block gives the training bigrams the highest likelihood while all others stay, and its gain
+    over the one it is in.  small: `small_gains` of the table."""
+    kinds, rows = len(table), len(symbols)
+    beside = np.concatenate([table.T, table])  # by side and the neighbour's class: its counts with each class
+    key = np.repeat(np.arange(rows, dtype=np.int64), sizes) * (2 * kinds) + (others & 1) * kinds + of[others >> 1]
+    sums = np.bincount(key, counts, rows * 2 * kinds)
+    at = np.flatnonzero(sums)
+    n, row, slot, own = sums[at], at // (2 * kinds), at % (2 * kinds), of[symbols]
+    more = np.empty((len(at), kinds))
+    few = n <= SMALL
+    more[few] = small[n[few].astype(np.int64), slot[few]]
+    base = beside[slot[~few]]
+    more[~few] = entropy(base + n[~few, None]) - entropy(base)
+    # where the symbol is now, its own counts are in the table
+    there = beside[slot, own[row]]
+    more[np.arange(len(at)), own[row]] = entropy(there) - entropy(np.maximum(there - n, 0))
+    gain = np.add.reduceat(more, np.flatnonzero(np.diff(row, prepend=-1)))
+    totals = sums.reshape(rows, 2, kinds).sum(2)
+    for side in (0, 1):
+        of_class, total = table.sum(1 - side), totals[:, side]
+        out = entropy(of_class + total[:, None]) - entropy(of_class)
+        now = of_class[own]
+        out[np.arange(rows), own] = entropy(now) - entropy(np.maximum(now - total, 0))
+        gain -= out
+    gain[:, 0] = -np.inf  # the end's
+    best = gain.argmax(1)
+    return best, gain[np.arange(rows), best] - gain[np.arange(rows), own]
+
+
+def small_gains(table: np.ndarray) -> np.ndarray:
+    """(count, side and neighbour's class, class): what adding a small count to a table's entry adds to its entropy."""
+    beside = np.concatenate([table.T, table])
+    return np.stack([entropy(beside + c) - entropy(beside) for c in range(SMALL + 1)])
+
+
+def moves(blocks: DataFrame, classes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, classes): those that would move, given the classes of all others as they are."""
+    shared = blocks.sparkSession.sparkContext.broadcast((classes.astype(np.int32), table))
 
-    def choose(batches):
+    def run(batches):
         of, t = shared.value
-        for b in batches:
-            symbol = b.column(0).to_numpy()
-            lists = b.column(1)
-            owner = np.repeat(np.arange(len(symbol)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            flat = lists.flatten()
-            slot, n = flat.field("slot").to_numpy(), flat.field("n").to_numpy()
-            own = of[symbol]
-            gain = np.zeros((len(symbol), kinds))
-            for side in (0, 1):
-                here = slot // kinds == side
-                who, other, count = owner[here], slot[here] % kinds, n[here]
-                # Counts between each class and the others, without this symbol's where it is now.
-                counts = (t if side == 0 else t.T)[:, other].T.copy()
-                counts[np.arange(len(who)), own[who]] -= count
-                more = entropy(np.maximum(counts, 0) + count[:, None]) - entropy(np.maximum(counts, 0))
-                np.add.at(gain, who, more)
-                total = np.bincount(who, count, len(symbol))
-                sums = np.repeat(t.sum(1 - side)[None], len(symbol), 0)
-                sums[np.arange(len(symbol)), own] -= total
-                gain -= entropy(np.maximum(sums, 0) + total[:, None]) - entropy(np.maximum(sums, 0))
-            gain[:, 0] = -np.inf  # the end's
-            best = gain.argmax(1)
-            moves = (symbol > 0) & (gain[np.arange(len(symbol)), best] > gain[np.arange(len(symbol)), own] + 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(symbol[moves]), pa.array(best[moves].astype(np.int32))], names=["symbol", "class"])
-
-    counts = bigrams.select("pair", "n").mapInArrow(beside, "symbol long, slot int, n double").groupBy("symbol", "slot").agg(F.sum("n").alias("n"))
-    moved = counts.groupBy("symbol").agg(F.collect_list(F.struct("slot", "n")).alias("counts")).mapInArrow(choose, "symbol long, class int").toArrow()
-    out = classes.copy()
-    out[moved["symbol"].to_numpy()] = moved["class"].to_numpy()
-    return out
-
-
-def swept_classes(bigrams: DataFrame, size: int, classes: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, their table) after sweeps, as long as these add to the mutual information."""
-    table = class_table(bigrams, size, classes, kinds)
-    while True:
-        new = sweep(bigrams, size, classes, table)
-        new_table = class_table(bigrams, size, new, kinds)
-        before, after = information(table), information(new_table)
-        if after <= before:
-            return classes, table
-        classes, table = new, new_table
-        if after < before * (1 + LEAST_GAIN):
-            return classes, table
+        small = small_gains(t)
+        for block in unpacked(batches):
+            best, gain = best_classes(*block, of, t, small)
+            go = (block[0] > 0) & (gain > 1e-9 * max(1.0, t.sum()) ** 0.5)
+            yield pa.RecordBatch.from_arrays([pa.array(block[0][go]), pa.array(best[go].astype(np.int32))], names=["symbol", "class"])
+
+    found = blocks.mapInArrow(run, "symbol int, class int").toArrow()
+    return found["symbol"].to_numpy(), found["class"].to_numpy()
+
+
+def swept_classes(blocks: DataFrame, classes: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, their table) after sweeps, each of which adds to the mutual information."""
+    table, share, turn = class_table(blocks, classes, kinds), 0, 0
+    symbols, to = moves(blocks, classes, table)
+    while len(symbols) > MOVES_LEFT * len(classes) and share < len(SHARES):
+        turn += 1
+        chosen = mix(symbols.astype(np.uint64) + (np.uint64(turn) << np.uint64(32))) >> np.uint64(32) < int(SHARES[share] * 2**32)
+        new = classes.copy()
+        new[symbols[chosen]] = to[chosen]
+        new_table = class_table(blocks, new, kinds)
+        if information(new_table) <= information(table):
+            share += 1
+            continue
+        classes, table, share = new, new_table, max(share, 1)
+        symbols, to = moves(blocks, classes, table)
+    return classes, table
 
 
 def with_ends(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,13 +392,15 @@ def train(df: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     # The core's words one at a time, with groups for all others.
     core = np.sort(np.lexsort((word, -n))[:CORE_WORDS])
     symbols, few = Symbols(word, GROUPS), Symbols(word[core], GROUPS)
-    bigrams = written(symbol_bigrams(df, text_col, symbols), "bigrams")
+    entries = min(int(tokens) + texts, symbols.size**2)  # of different pairs at most
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * entries // PART_ENTRIES))
+    blocks = written(neighbour_blocks(symbol_bigrams(df, text_col, symbols, parts), symbols.size, parts), "neighbours")
     to_core = 1 + len(core) + np.concatenate([[0], group, np.arange(GROUPS)])
     to_core[0] = 0
     to_core[1 + core] = 1 + np.arange(len(core))
-    start = exchange_classes(class_table(bigrams, symbols.size, to_core, few.size), CLASSES)
+    start = exchange_classes(class_table(blocks, to_core, few.size), CLASSES)
     # Then all of them, from the class of their group on.
-    classes, table = swept_classes(bigrams, symbols.size, start[to_core], CLASSES)
+    classes, table = swept_classes(blocks, start[to_core], CLASSES)
     return finish(symbols, classes, table, n, int(tokens) + texts, int(types) + (texts > 0), class_types(counts, group, symbols, classes)), counts.where(~frequent)
 
 
