@@ -41,8 +41,8 @@ MOVES_LEFT = 0.02
 SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Entries of a block of neighbours, 12 bytes each; a word's entries stay together.
 BLOCK_ENTRIES = 1 << 16
-#: Pairs that a task gathers before it sums them, and a part's at most, as there are at least so many parts.
-PART_ENTRIES = 1 << 22
+#: Pairs that a task gathers before it sums them, and about so many that a part has at most.
+WAITING, PART_ENTRIES = 1 << 19, 1 << 21
 #: Counts up to this are looked up when gains are computed.
 SMALL = 64
 END = 0  # the hash of the token that ends a text
@@ -134,13 +134,13 @@ def symbol_bigrams(df: DataFrame, text_col: str, symbols: Symbols, parts: int) -
     def run(batches):
         pairs, counts, waiting = [], [], 0
         for b in batches:
-            for w in word_chunks(b.column(0), 1 << 22):
+            for w in word_chunks(b.column(0), 1 << 20):
                 left, right = with_ends(shared.value.of(w), w.bounds)
                 pair, n = np.unique(left * size + right, return_counts=True)
                 pairs.append(pair)
                 counts.append(n)
                 waiting += len(pair)
-                if waiting > PART_ENTRIES:
+                if waiting > WAITING:
                     pair, n = summed(pairs, counts)
                     yield from dealt(pair // size, [pair, n], parts, ["part", "pairs", "counts"])
                     pairs, counts, waiting = [], [], 0
@@ -163,14 +163,14 @@ def neighbour_blocks(bigrams: DataFrame, size: int, parts: int) -> DataFrame:
                 pairs.append(np.frombuffer(packed, np.int64))
                 counts.append(np.frombuffer(n, np.int64))
                 waiting += len(pairs[-1])
-                if waiting > PART_ENTRIES:
+                if waiting > WAITING:
                     pair, n = summed(pairs, counts)
                     pairs, counts, waiting = [pair], [n], 0
         pair, n = summed(pairs, counts)
         left, right = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
         names = ["part", "symbols", "others", "counts"]
-        for first in range(0, len(pair), PART_ENTRIES):
-            here = slice(first, first + PART_ENTRIES)
+        for first in range(0, len(pair), WAITING):
+            here = slice(first, first + WAITING)
             yield from dealt(left[here], [left[here], right[here] * 2, n[here]], parts, names)
             yield from dealt(right[here], [right[here], left[here] * 2 + 1, n[here]], parts, names)
 
