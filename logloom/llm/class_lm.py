@@ -40,7 +40,9 @@ FREQUENT = 1 << 18
 MOVES_LEFT = 0.02
 SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Entries of a block of neighbours, 12 bytes each; a word's entries stay together.
-BLOCK_ENTRIES = 1 << 16
+BLOCK_ENTRIES = 1 << 15
+#: Bytes of text that are split into words at once.
+CHUNK_BYTES = 1 << 20
 #: Pairs that a task gathers before it sums them, and about so many that a part has at most.
 WAITING, PART_ENTRIES = 1 << 19, 1 << 21
 #: Counts up to this are looked up when gains are computed.
@@ -90,17 +92,27 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, group, n) over all texts; a word is its 64-bit hash."""
 
     def run(batches):
+        found, waiting = [], 0
         for b in batches:
-            hashes, groups, counts = [], [], []
-            for w in word_chunks(b.column(0)):
+            for w in word_chunks(b.column(0), CHUNK_BYTES):
                 word, at, n = np.unique(w.hashes, return_index=True, return_counts=True)
-                hashes.append(word)
-                groups.append(word_groups(w, GROUPS)[at])
-                counts.append(n)
-            if hashes:
-                word, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-                n = np.bincount(inverse, np.concatenate(counts), len(word)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(word)), pa.array(np.concatenate(groups)[at].astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
+                found.append((word, word_groups(w, GROUPS)[at].astype(np.int32), n))
+                waiting += len(word)
+                if waiting > WAITING:
+                    yield told(found)
+                    found, waiting = [], 0
+        if found:
+            yield told(found)
+
+    def told(found):
+        word, group, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, group, n = word[order], group[order], n[order]
+        new = np.ones(len(word), bool)
+        new[1:] = word[1:] != word[:-1]
+        starts = np.flatnonzero(new)
+        n = np.add.reduceat(n, starts) if len(starts) else n
+        return pa.RecordBatch.from_arrays([pa.array(signed(word[starts])), pa.array(group[starts]), pa.array(n.astype(np.int64))], names=["word", "group", "n"])
 
     return df.select(text_col).mapInArrow(run, "word long, group int, n long").groupBy("word", "group").agg(F.sum("n").alias("n"))
 
@@ -134,7 +146,7 @@ def symbol_bigrams(df: DataFrame, text_col: str, symbols: Symbols, parts: int) -
     def run(batches):
         pairs, counts, waiting = [], [], 0
         for b in batches:
-            for w in word_chunks(b.column(0), 1 << 20):
+            for w in word_chunks(b.column(0), CHUNK_BYTES):
                 left, right = with_ends(shared.value.of(w), w.bounds)
                 pair, n = np.unique(left * size + right, return_counts=True)
                 pairs.append(pair)
@@ -435,7 +447,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, end_count: int, id_col
     def run(batches):
         m = shared.value
         for b in batches:
-            for w in word_chunks(b.column(1)):
+            for w in word_chunks(b.column(1), CHUNK_BYTES):
                 n, per = w.last - w.first, np.diff(w.bounds)
                 text = np.repeat(np.arange(n), per)
                 left, right = with_ends(m.classes[m.symbols.of(w)], w.bounds)
