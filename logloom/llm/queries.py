@@ -18,7 +18,7 @@ from .media import describe_media, encode_media
 from .ngram_join import similar_texts
 from .packing import pack_documents
 from .piecewise import compare_with_next
-from .segmentations import sample_segmentations
+from .segmentations import decode_segmentations, sample_segmentations
 from .toxicity import toxicity
 from .url_filter import filter_sql, filter_urls
 
@@ -55,6 +55,13 @@ def op8_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def decode_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text from the ids of its first sampled segmentation."""
+    model = tokenizer("piece_bpe_32k.model")
+    samples = sample_segmentations(table(spark, sf_dir, "documents"), model, samples=1, with_ids=True)
+    return decode_segmentations(samples.select("doc_id", "ids"), model).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(written(encode_media(table(spark, sf_dir, "documents")), "media"))
 
@@ -95,5 +102,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first_page <> page_id THEN first_page END AS refers_to FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter, "op11_hard_negatives": op11_hard_negatives, "op12_fill_middle": op12_fill_middle, "op13_fingerprints": op13_fingerprints}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL, "op10_url_filter": filter_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_fill_middle": FILL_MIDDLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_toxicity": op5_toxicity, "op6_class_lm": op6_class_lm, "op7_warc_from_arc": op7_warc_from_arc, "op8_sampled_segmentations": op8_sampled_segmentations, "op9_media_audio": op9_media_audio, "op10_url_filter": op10_url_filter, "op11_hard_negatives": op11_hard_negatives, "op12_fill_middle": op12_fill_middle, "op13_fingerprints": op13_fingerprints, "decode_segmentations": decode_samples}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": scan_sql(), "op3_exact_dedup": OP3_SQL, "op7_warc_from_arc": OP7_SQL, "op10_url_filter": filter_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_fill_middle": FILL_MIDDLE_SQL, "decode_segmentations": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents"}

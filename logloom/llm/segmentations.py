@@ -98,7 +98,7 @@ class Pieces:
         """The text of ids: blanks back to spaces, bytes back to characters, without the first blank."""
         at_byte = {int(i): b for b, i in enumerate(self.byte_ids)}
         data = b"".join(bytes([at_byte[i]]) if i in at_byte else self.texts[i].replace(chr(BLANK), " ").encode() for i in ids)
-        return data.decode()[1:]
+        return data.decode(errors="replace").removeprefix(" ")
 
 
 def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -442,3 +442,21 @@ def sample_segmentations(df: DataFrame, model: str, samples: int = SAMPLES, temp
                 first = last
 
     return df.select(id_col, text_col, F.xxhash64(id_col)).mapInArrow(run, schema)
+
+
+def decode_segmentations(segmentations: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """`segmentations` with the text of each row's ids in place of the ids.
+
+    Bytes that are no UTF-8 become U+FFFD; no ids give an empty text, null ids a null one, and an id that the model
+    hasn't is an error.  Other columns stay as they are, repeated rows too; an empty table gives an empty result.
+    """
+    rest = [c for c in segmentations.columns if c not in (ids_col, text_col)]
+    schema = T.StructType([*(segmentations.schema[c] for c in rest), T.StructField(text_col, T.StringType())])
+
+    def run(batches):
+        pieces = load_pieces(model)
+        for b in batches:
+            texts = [None if ids is None else pieces.decode(ids) for ids in b.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(rest))), pa.array(texts, pa.string())], names=schema.names)
+
+    return segmentations.select(*rest, ids_col).mapInArrow(run, schema)

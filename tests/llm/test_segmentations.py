@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from logloom.llm.common import tokenizer
-from logloom.llm.segmentations import load_pieces, sample_segmentations, sample_texts
+from logloom.llm.segmentations import decode_segmentations, load_pieces, sample_segmentations, sample_texts
 
 PATH = tokenizer("piece_bpe_32k.model")
 TEXTS = ["", "hello world", "  two  spaces ", "ñandú 日本語 😀 x\ny\tz ▁lit ￾", "a", "a" * 300, " ", "\n"]
@@ -99,3 +99,17 @@ def test_samples_don_t_depend_on_the_batch():
     for t, text in enumerate(TEXTS):
         for _, n, ids, *_ in sample_texts([text], keys[t : t + 1], pieces, 3):
             assert together[t, n] == ids.tolist()
+
+
+def test_decoding_equals_the_library(docs, spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    samples = sample_segmentations(docs(list(enumerate(TEXTS)) + [(50, None), (51, "x" * 20_000)]), PATH, samples=2, with_ids=True)
+    rows = samples.select("doc_id", "sample", "ids").collect()
+    found = {(r["doc_id"], r["sample"]): r["text"] for r in decode_segmentations(spark.createDataFrame(rows, "doc_id long, sample int, ids array<int>"), PATH).collect()}
+    assert len(found) == len(rows) > len(TEXTS)
+    for r in rows:
+        assert found[r["doc_id"], r["sample"]] == library.decode(r["ids"])
+    odd = decode_segmentations(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), PATH).collect()
+    assert [(r["doc_id"], r["text"]) for r in odd] == [(1, None), (2, "")]
