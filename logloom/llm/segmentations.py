@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: blanks back to spaces, bytes back to characters, without the first blank."""
-        at_byte = {int(i): b for b, i in enumerate(self.byte_ids)}
+        at_byte = self.at_byte = getattr(self, "at_byte", None) or {int(i): b for b, i in enumerate(self.byte_ids)}
         data = b"".join(bytes([at_byte[i]]) if i in at_byte else self.texts[i].replace(chr(BLANK), " ").encode() for i in ids)
         return data.decode(errors="replace").removeprefix(" ")
 
@@ -435,7 +436,7 @@ def sample_segmentations(df: DataFrame, model: str, samples: int = SAMPLES, temp
                 while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
                     chars += len(texts[last])
                     last += 1
-                rows = [(first + t, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *more, ids.tolist() if with_ids else None) for t, n, ids, *more in sample_texts(texts[first:last], keys[first:last], pieces, samples)]
+                rows = [(first + t, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *more, ids.astype(np.int32) if with_ids else None) for t, n, ids, *more in sample_texts(texts[first:last], keys[first:last], pieces, samples)]
                 c = list(zip(*rows, strict=True))
                 arrays = [b.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), *(pa.array(c[k], pa.float64()) for k in (4, 5, 6))]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(c[7], pa.list_(pa.int32()))] * with_ids, names=schema.names)
@@ -456,7 +457,11 @@ def decode_segmentations(segmentations: DataFrame, model: str, ids_col: str = "i
     def run(batches):
         pieces = load_pieces(model)
         for b in batches:
-            texts = [None if ids is None else pieces.decode(ids) for ids in b.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(rest))), pa.array(texts, pa.string())], names=schema.names)
+            column, sizes, first = b.column(len(rest)), pc.fill_null(pc.list_value_length(b.column(len(rest))), 0).to_numpy(), 0
+            while first < b.num_rows:  # a row's ids at a time, some 2^18 a slice
+                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 18, "right")))
+                texts = [pieces.decode(column[i].values.to_pylist()) if column[i].is_valid else None for i in range(first, min(last, b.num_rows))]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(first, len(texts)) for k in range(len(rest))), pa.array(texts, pa.string())], names=schema.names)
+                first = last
 
     return segmentations.select(*rest, ids_col).mapInArrow(run, schema)
