@@ -10,15 +10,17 @@ least `similarity` percent.  The join loses no link between components:
    have no partner and leave, which in most corpora are nearly all.
 3. For the rest the global order is rarest first, and beginnings are short.  Sets that
    share an n-gram of their beginnings, directly or over others, form a block.
-4. Blocks are dealt out in chunks of bounded size.  In each chunk the sets are put in a
+4. Blocks are dealt out in chunks of bounded size, in an order that keeps sets with the
+   same first passage together.  In each chunk the sets are put in a
    trie, which is walked once for all sets: the overlaps of all sets with the path to a
    node are shared by everything below it, and a set leaves the walk of a subtree as soon
    as the overlap so far and the length that remains can't make a link with any set there.
 5. Of each chunk's components the set with most links stands for it, and these are joined
    in chunks again, until chunks of a block can't be brought together further.  Most near
    copies are then in one component.  A link that is still missing has an end outside its
-   block's largest component, so every set there meets the tries of all chunks that have
-   an n-gram of its beginning.
+   block's largest component, so every set there meets the tries of all other chunks that
+   have an n-gram of its beginning at places and with sizes that allow a link: what comes
+   before the first shared n-gram is lost to both sets.
 
 So the work grows with the number of sets and of those outside, not with the square of a
 group of near copies.  That is also why links are not counted: all pairs of such a group
@@ -31,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,19 +178,29 @@ def all_grams(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 
 def ordered_sets(df: DataFrame, kept: DataFrame, id_col: str, text_col: str, size: int, similarity: int) -> DataFrame:
-    """(doc, n, grams): grams has the n-grams that at least two sets have, rarest first; those of one set alone come
-    before them in the global order and link nothing."""
+    """(doc, n, grams, near): grams has the n-grams that at least two sets have, rarest first; those of one set alone come
+    before them in the global order and link nothing.
+
+    near is the n-gram by which similar sets stand together in chunks.  Sets of one size share one of their first
+    n - 2t/(1+t) n + 1, the last of which is mostly of a passage that many sets have; near is the first of about its
+    frequency, which is the same for all sets that have the passage there."""
     rows = df.select(F.col(id_col).alias("doc"), text_col).join(kept.select("doc").distinct(), "doc", "left_semi")
     grams = written(all_grams(rows, "doc", text_col, size).join(kept, ["doc", "n"], "left_semi"), "grams")
     sets = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
-    ordered = grams.join(sets, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "gram"))).alias("g")).select("doc", "n", F.col("g.gram").alias("grams"))
+    ordered = grams.join(sets, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "gram"))).alias("g"))
+    last = F.greatest(F.size("g") - F.ceil(F.col("n") * 2 * similarity / (100 + similarity)), F.lit(0)).cast("int")
+    often = lambda sets: F.floor(F.log2(sets))
+    near = F.filter("g", lambda x: often(x["sets"]) >= often(F.col("g")[last]["sets"]))[0]["gram"]
+    ordered = ordered.select("doc", "n", F.col("g.gram").alias("grams"), near.alias("near"))
     return written(ordered.where(F.size("grams") >= needed(F.col("n"), similarity)), "ordered-sets")
 
 
 def starts(sets: DataFrame, similarity: int, *keep: str) -> DataFrame:
-    """`keep` and gram: a row for each n-gram of the beginnings of `sets`, whose other n-grams no other set has."""
+    """`keep`, before and gram: a row for each n-gram of the beginnings of `sets`, whose other n-grams no other set has;
+    before is the number of n-grams before it."""
     beginning = F.greatest(F.size("grams") - needed(F.col("n"), similarity) + 1, F.lit(0)).cast("int")
-    return sets.select(*keep, F.explode(F.slice("grams", F.lit(1), beginning)).alias("gram"))
+    rows = sets.select(*keep, (F.col("n") - F.size("grams")).alias("_alone"), F.posexplode(F.slice("grams", F.lit(1), beginning)).alias("_at", "gram"))
+    return rows.select(*keep, (F.col("_alone") + F.col("_at")).alias("before"), "gram")
 
 
 # ---------------------------------------------------------------- in a task
@@ -279,7 +292,7 @@ def chunk_components(sets: Sets, similarity: int) -> tuple[np.ndarray, np.ndarra
 
 def grouped(batches, keys: int):
     """(key, Sets) of rows (key columns, id, n, grams) of which those with equal keys stand together.  Of `keys` columns
-    the last tells whether the rows are put in a trie (0) or only meet it (1); the latter come in parts."""
+    the last tells whether the rows stay together (0) or come in parts of bounded size (1)."""
     key, ids, n, grams, total = None, [], [], [], 0
     for b in batches:
         lists = b.column(keys + 2)
@@ -300,77 +313,93 @@ def grouped(batches, keys: int):
 # ---------------------------------------------------------------- rounds
 
 
-def in_chunks(sets: DataFrame) -> DataFrame:
-    """`sets` (block, vertex, n, grams) with chunk, which deals each block out."""
-    sizes = sets.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum(F.size("grams")) / CHUNK_GRAMS)).alias("chunks"))
-    return sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")))
-
-
 def join_chunks(sets: DataFrame, similarity: int) -> DataFrame:
-    """(block, chunks, vertex, root, hub) of sets (block, chunks, chunk, vertex, n, grams), joined within each chunk."""
+    """(block, chunk, vertex, n, grams, root, hub) of sets (block, vertex, n, grams, near), joined within each chunk.
+
+    One sort over all sets deals them out: tasks have ranges of it, and cut what they have of a block into chunks.
+    The vertex's hash ends the order, so that any number of like sets can be split.
+    """
     vertex = sets.schema["vertex"]
-    schema = T.StructType([T.StructField("block", sets.schema["block"].dataType), T.StructField("chunks", T.LongType()), vertex, T.StructField("root", vertex.dataType), T.StructField("hub", T.BooleanType())])
+    found = [T.StructField("root", vertex.dataType), T.StructField("hub", T.BooleanType())]
+    schema = T.StructType([sets.schema["block"], T.StructField("chunk", T.LongType()), vertex, sets.schema["n"], sets.schema["grams"], *found])
 
     def run(batches):
-        for (block, chunks, _, _), part in grouped(batches, 4):
+        task = TaskContext.get().partitionId() << 32
+        for number, ((block, *_), part) in enumerate(grouped(batches, 2)):
             root, hub = chunk_components(part, similarity)
-            ids = pa.array(part.ids)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids)), pa.array([chunks] * len(ids), pa.int64()), ids, ids.take(pa.array(root)), pa.array(hub)], names=schema.names)
+            ids, m = pa.array(part.ids), len(part.ids)
+            grams = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in part.grams])), pa.int32()), pa.array(np.concatenate(part.grams)))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * m), pa.array([task + number] * m, pa.int64()), ids, pa.array(part.n), grams, ids.take(pa.array(root)), pa.array(hub)], names=schema.names)
 
-    rows = sets.select("block", "chunks", "chunk", F.lit(0).alias("role"), "vertex", "n", "grams")
-    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(run, schema)
+    rows = sets.select("block", F.lit(1).alias("role"), "vertex", "n", "grams", "near", F.array_min("grams").alias("_least"), F.xxhash64("vertex").alias("_hash"))
+    order = ["block", "near", "_least", "_hash"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "vertex").drop("near", "_least", "_hash").mapInArrow(run, schema)
 
 
-def meet_chunks(sets: DataFrame, outside: DataFrame, similarity: int) -> DataFrame:
-    """Edges (a, b) from each vertex of `outside` to the sets linked to it, one for each of their components.
+def of_several(chunks: DataFrame) -> DataFrame:
+    """The rows of those blocks that have more than one chunk."""
+    several = chunks.groupBy("block").agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b")).where("_a < _b").select("block")
+    return chunks.join(several, "block", "left_semi")
 
-    A vertex goes to the chunks that have an n-gram of its beginning, and these are copied for each CHUNK_SETS of its
-    visitors, so that no task has more than a chunk and so many visitors.
+
+def chunk_visits(sets: DataFrame, outside: DataFrame, similarity: int) -> DataFrame:
+    """(vertex, chunk): the chunks other than its own that may have a set linked to a vertex of `outside`.
+
+    Of the first n-gram that two sets share, `before` tells how much of each can't be shared.  A link needs an overlap
+    of t/(1+t) of both sizes, so a chunk's least size and its longest rest are compared for each n-gram.
     """
-    vertex, component = sets.schema["vertex"], sets.schema["component"].dataType
+    s, all_of = similarity, 100 + similarity
+    places = starts(sets, s, "chunk", "n").groupBy("gram", "chunk").agg(F.min("n").alias("least"), F.max(100 * F.col("n") - all_of * F.col("before")).alias("reach"))
+    visitors = starts(outside.withColumnRenamed("chunk", "own"), s, "vertex", "n", "own")
+    fits = (all_of * (F.col("n") - F.col("before")) >= s * (F.col("n") + F.col("least"))) & (F.col("reach") >= s * F.col("n"))
+    return visitors.join(places, "gram").where(fits & (F.col("chunk") != F.col("own"))).select("vertex", "chunk").distinct()
+
+
+def meet_chunks(sets: DataFrame, outside: DataFrame, similarity: int) -> DataFrame:
+    """Edges (a, b) from each vertex of `outside` to the sets of other chunks linked to it, one for each of their
+    components.  Chunks are copied for each CHUNK_SETS of their visitors, so that no task has more than a chunk and so
+    many visitors."""
+    vertex = sets.schema["vertex"]
     schema = T.StructType([T.StructField("a", vertex.dataType), T.StructField("b", vertex.dataType)])
-    places = starts(sets, similarity, "block", "chunk", "n").groupBy("gram", "block", "chunk").count().drop("count")
-    visits = starts(outside, similarity, "vertex").join(places, "gram").select("vertex", "block", "chunk").distinct()
-    visits = written(visits, "visits")
-    parts = visits.groupBy("block", "chunk").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts"))
-    visitors = visits.join(parts, ["block", "chunk"]).withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts"))).drop("parts").join(outside.select("vertex", "n", "grams", "component"), "vertex")
-    hosts = sets.join(parts, ["block", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["block", "chunk", "part", "role", F.struct("vertex", "component").alias("id"), "n", "grams"]
+    visits = written(chunk_visits(sets, outside, similarity), "visits")
+    parts = visits.groupBy("chunk").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts"))
+    visitors = visits.join(parts, "chunk").withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts"))).drop("parts").join(outside.select("vertex", "n", "grams", "component"), "vertex")
+    hosts = sets.join(parts, "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["chunk", "part", "role", F.struct("vertex", "component").alias("id"), "n", "grams"]
     rows = hosts.withColumn("role", F.lit(0)).select(*columns).unionByName(visitors.withColumn("role", F.lit(1)).select(*columns))
 
     def run(batches):
         trie, hosts = None, []
-        for key, part in grouped(batches, 4):
-            if key[3] == 0:
-                trie, hosts, place = Trie(part), part.ids, key[:3]
-            elif trie is not None and place == key[:3]:
+        for key, part in grouped(batches, 3):
+            if key[2] == 0:
+                trie, hosts, place = Trie(part), part.ids, key[:2]
+            elif trie is not None and place == key[:2]:
                 a, b = trie.links(part, similarity)
                 found = {(part.ids[i]["vertex"], hosts[j]["component"]): hosts[j]["vertex"] for i, j in zip(a.tolist(), b.tolist(), strict=True) if part.ids[i]["component"] != hosts[j]["component"]}
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], ids), pa.array(list(found.values()), ids)], names=schema.names)
 
     ids = pa.int64() if isinstance(vertex.dataType, T.LongType) else None
-    return rows.repartition("block", "chunk", "part").sortWithinPartitions("block", "chunk", "part", "role").mapInArrow(run, schema)
+    return rows.repartition("chunk", "part").sortWithinPartitions("chunk", "part", "role").mapInArrow(run, schema)
 
 
 def joined(placed: DataFrame, similarity: int) -> DataFrame:
-    """(node, component) of the sets of `placed` (block, vertex, n, grams) that have a link."""
-    chunked = written(in_chunks(placed), "chunks")
-    now = written(join_chunks(chunked, similarity), "chunk-components")
+    """(node, component) of the sets of `placed` (block, vertex, n, grams, near) that have a link."""
+    chunked = now = written(join_chunks(placed, similarity), "chunks")
     edges = now.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
-    divided = now.where("chunks > 1 and hub")
+    divided = of_several(now).where("hub")
     before, hubs = None, divided.count()
     # Sets with most links meet in chunks again, as long as that leaves fewer of them.
     while hubs and (before is None or hubs < before * 0.9):
-        again = in_chunks(placed.join(divided.select("vertex"), "vertex", "left_semi"))
-        now = written(join_chunks(again, similarity), "hub-components")
+        again = placed.join(divided.select("vertex"), "vertex", "left_semi")
+        now = written(join_chunks(again, similarity).drop("n", "grams"), "hub-components")
         edges = edges.unionByName(now.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
-        divided = now.where("chunks > 1 and hub")
+        divided = of_several(now).where("hub")
         before, hubs = hubs, divided.count()
     components = connected_components(edges)
     if before is None:
         return components
     # Blocks of several chunks: what is not in the largest component meets all chunks that it can have a link to.
-    parted = written(chunked.where("chunks > 1").join(components, F.col("vertex") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "vertex")), "parted-blocks")
+    parted = written(of_several(chunked).drop("root", "hub").join(components, F.col("vertex") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "vertex")), "parted-blocks")
     largest = parted.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", F.col("component"))).alias("largest"))
     outside = written(parted.join(largest, "block").where("component <> largest").drop("largest"), "outside")
     more = written(meet_chunks(parted, outside, similarity), "late-links")
@@ -399,11 +428,11 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Sets of one size with equal repeated n-grams are one vertex; a task combines them before anything is shuffled.
     same = ["n", F.size("grams").alias("size"), F.xxhash64("grams").alias("h1"), F.hash("grams").alias("h2")]
-    vertices = written(sets.groupBy(*same).agg(F.min("doc").alias("vertex"), F.first("grams").alias("grams")), "vertices")
+    vertices = written(sets.groupBy(*same).agg(F.min("doc").alias("vertex"), F.first("grams").alias("grams"), F.first("near").alias("near")), "vertices")
     first = starts(vertices, similarity, "vertex")
     least = first.groupBy("gram").agg(F.min("vertex").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     blocks = connected_components(first.join(least, "gram").select(F.col("vertex").alias("a"), "b"))
-    placed = written(vertices.join(blocks, F.col("vertex") == F.col("node")).select(F.col("component").alias("block"), "vertex", "n", "grams"), "blocks")
+    placed = written(vertices.join(blocks, F.col("vertex") == F.col("node")).select(F.col("component").alias("block"), "vertex", "n", "grams", "near"), "blocks")
     roots = joined(placed, similarity)
 
     # A vertex's own sets are linked to one another if what they share is enough.

@@ -183,3 +183,42 @@ def test_components(spark):
                 todo += near[x]
     assert out == seen
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shared_paragraphs(n, pool, seed=3):
+    """Pages of five paragraphs, of 60 words each, that many pages share, so that hardly any two link; some near copies."""
+    r = random.Random(seed)
+    paragraphs = [" ".join(f"p{p}w{r.randrange(10**6)}" for _ in range(60)) for p in range(pool)]
+    pages = [r.sample(paragraphs, 5) for _ in range(n)]
+    for k in range(0, n, 100):
+        pages[k] = [*pages[k + 50][:4], pages[k + 50][4] + f" end{k}"]
+    return [(k, "\n".join(page)) for k, page in enumerate(pages)]
+
+
+def test_half_similar_pages_meet_few_chunks(docs, monkeypatch):
+    """Pages of one block that share paragraphs visit a few of its 12 chunks, and lose no link."""
+    visits, write = [], ngram_join.written
+
+    def written(df, name):
+        out = write(df, name)
+        visits.extend([out.count()] if name == "visits" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    n = 3000
+    rows = shared_paragraphs(n, 200)
+    out = {x["doc_id"]: x["component_id"] for x in similar_texts(docs(rows)).collect()}
+    sets, sharing = {k: grams(t) for k, t in rows}, defaultdict(set)
+    component = {k: k for k in sets}
+    for k, t in rows:
+        for p in t.split("\n"):
+            sharing[p.split(" end")[0]].add(k)
+    for members in sharing.values():
+        for a in members:
+            for b in members:
+                both = len(sets[a] & sets[b]) if a < b else 0
+                if a < b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    old, new = max(component[a], component[b]), min(component[a], component[b])
+                    component = {k: new if c == old else c for k, c in component.items()}
+    assert out == component and len(set(component.values())) < n
+    assert sum(visits) < 5 * n
