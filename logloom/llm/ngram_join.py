@@ -337,9 +337,10 @@ def join_chunks(sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def of_several(chunks: DataFrame) -> DataFrame:
-    """The rows of those blocks that have more than one chunk."""
-    several = chunks.groupBy("block").agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b")).where("_a < _b").select("block")
-    return chunks.join(several, "block", "left_semi")
+    """The rows of those blocks that have more than one chunk.  Rows meet by chunk, as one block may have most of them."""
+    places = chunks.select("block", "chunk").distinct()
+    several = places.groupBy("block").count().where("count > 1").select("block")
+    return chunks.join(places.join(several, "block", "left_semi").select("chunk"), "chunk", "left_semi")
 
 
 def chunk_visits(sets: DataFrame, outside: DataFrame, similarity: int) -> DataFrame:
@@ -401,7 +402,8 @@ def joined(placed: DataFrame, similarity: int) -> DataFrame:
     # Blocks of several chunks: what is not in the largest component meets all chunks that it can have a link to.
     parted = written(of_several(chunked).drop("root", "hub").join(components, F.col("vertex") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "vertex")), "parted-blocks")
     largest = parted.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", F.col("component"))).alias("largest"))
-    outside = written(parted.join(largest, "block").where("component <> largest").drop("largest"), "outside")
+    largest = parted.select("block", "chunk").distinct().join(largest, "block").select("chunk", "largest")
+    outside = written(parted.join(largest, "chunk").where("component <> largest").drop("largest"), "outside")
     more = written(meet_chunks(parted, outside, similarity), "late-links")
     if more.isEmpty():
         return components
