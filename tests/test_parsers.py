@@ -4,7 +4,9 @@ from datetime import datetime
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
+from logloom.functions.metadata import as_metadata, line_entries
 from logloom.operators.csvlog import csv_status, delimiter_of, is_header, layout, parse_csv
 from logloom.operators.jsonlog import json_status, parse_json
 from logloom.operators.multiline import assign_heads, attach_traces
@@ -175,3 +177,11 @@ def test_lines_are_parsed_once(spark, tmp_path):
     entries = parse_text(spark.read.parquet(str(tmp_path / "lines")), OPTS)
     entries.collect()
     assert "ReusedExchange" in entries._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_line_of_many_pairs(spark):
+    """Of equal keys the last counts, and the work doesn't grow with the square of the pairs."""
+    said = [(f"k{i * 7 % 15_000}", str(i)) for i in range(30_000)]
+    lines = [(1, " ".join(f"{k}={v}" for k, v in said)), (2, "a=1 b='x y' a=2"), (3, "nothing"), (4, "a="), (5, None)]
+    found = spark.createDataFrame(lines, "n int, line string").select("n", line_entries(F.col("line"), []).alias("e")).select("n", as_metadata(F.col("e")).alias("m"))
+    assert {r["n"]: r["m"] for r in found.collect()} == {1: dict(said), 2: {"a": "2", "b": "x y"}, 3: None, 4: None, 5: None}
