@@ -1,19 +1,26 @@
 """What a task has to hold doesn't grow with the input."""
 
+import os
 from datetime import datetime
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.multiline import assign_heads, attach_traces
 from logloom.operators.textlog import class_lines, match_lines
 from logloom.options import ParseOptions
+from logloom.queries import ORACLE_SQL, QUERIES, log_files
+from logloom.sources.lines import FileScan
+
+from .test_queries import SF, rows
 
 
 def test_shares_of_many_lines_do_not_grow(spark, monkeypatch):
     """Lines known to be many are dealt out in parts of half a block, also where all are of one file, and a long trace goes on over blocks."""
     monkeypatch.setattr("logloom.operators.multiline.BLOCK_LINES", 10)
-    rows = [("f", n, "2024-01-01 00:00:00 [t] ERROR a.B - TimeoutException" if n in (1, 96) else "\tat a.B.c(B.java:1)" if n < 90 else " " if n == 90 else f"loose {n}") for n in range(1, 101)]
-    lines = spark.createDataFrame(rows, "file_name string, line_number long, line string").withColumn("file_name", F.lit("f"))
+    given = [("f", n, "2024-01-01 00:00:00 [t] ERROR a.B - TimeoutException" if n in (1, 96) else "\tat a.B.c(B.java:1)" if n < 90 else " " if n == 90 else f"loose {n}") for n in range(1, 101)]
+    lines = spark.createDataFrame(given, "file_name string, line_number long, line string").withColumn("file_name", F.lit("f"))
     opts = ParseOptions(ingest_ts=datetime(2024, 1, 1), about_lines=100)
     heads = assign_heads(match_lines(lines, opts), opts.about_lines)
     assert heads.rdd.getNumPartitions() == 20
@@ -21,3 +28,34 @@ def test_shares_of_many_lines_do_not_grow(spark, monkeypatch):
     assert got[1] == (89, "\n".join(["\tat a.B.c(B.java:1)"] * 88)) and got[96] == (5, "loose 97\nloose 98\nloose 99\nloose 100")
     assert sorted(got) == [1, *range(91, 97)]
     assert "_timestamp" not in attach_traces(assign_heads(class_lines(lines, opts), 100)).columns
+
+
+FILED = ("ingest_text", "ingest_json", "ingest_csv", "ingest_accounting", "ingest_statistics", "ingest_charsets", "engine_count", "engine_export_json", "engine_search", "engine_search_levels", "detect_formats")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_logs_of_many_files(spark, monkeypatch):
+    """No task has a whole log, and what is told of a log of many files is what is told of one."""
+    monkeypatch.setattr("logloom.queries.FILE_LINES", 50)
+    monkeypatch.setattr("logloom.queries._jobs", {})
+    path = log_files(spark, SF, F.lit("x"), ".log")
+    sizes = [r["count"] for r in spark.read.text(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for name in FILED:
+        df = QUERIES[name](spark, SF)
+        got = con.execute(ORACLE_SQL[name])
+        order = [[d[0] for d in got.description].index(n) for n in df.columns]
+        assert rows(df.collect()) == rows([r[i] for i in order] for r in got.fetchall()), name
+
+
+def test_rotated_files_are_one_log(spark, tmp_path):
+    for folder, files in {"a": ("1\n2\n", "", "3\n"), "b": ("4\n",)}.items():
+        (tmp_path / folder).mkdir()
+        for i, text in enumerate(files):
+            (tmp_path / folder / f"part-{i}.log").write_text(text)
+    scan = FileScan(spark, [str(tmp_path / "a"), str(tmp_path / "b")], rotated=True)
+    got = sorted((r["file_name"].rpartition("/")[0][-1:] + r["file_name"][-2:], r["line_number"], r["line"]) for r in scan.lines().collect())
+    assert got == [("a/*", 1, "1"), ("a/*", 2, "2"), ("a/*", 3, "3"), ("b/*", 1, "4")]
+    assert (scan.line_count, scan.longest_file, scan.byte_count) == (4, 3, 8)
