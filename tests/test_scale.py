@@ -2,14 +2,17 @@
 
 import os
 from datetime import datetime
+from random import Random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.operators.fulltext import swaps, word_matches
+from logloom.operators.highlight import highlights
 from logloom.operators.multiline import assign_heads, attach_traces
 from logloom.operators.textlog import class_lines, match_lines
-from logloom.options import ParseOptions
+from logloom.options import LogQuery, ParseOptions
 from logloom.queries import ORACLE_SQL, QUERIES, log_files
 from logloom.sources.lines import FileScan
 
@@ -59,3 +62,31 @@ def test_rotated_files_are_one_log(spark, tmp_path):
     got = sorted((r["file_name"].rpartition("/")[0][-1:] + r["file_name"][-2:], r["line_number"], r["line"]) for r in scan.lines().collect())
     assert got == [("a/*", 1, "1"), ("a/*", 2, "2"), ("a/*", 3, "3"), ("b/*", 1, "4")]
     assert (scan.line_count, scan.longest_file, scan.byte_count) == (4, 3, 8)
+
+
+def test_passages_are_found_once(spark):
+    """However often the passages are looked at, the plan has them made in one place."""
+    q = LogQuery("j", search_text="failed host", search_fields=("message",), highlight=True)
+    entries = spark.createDataFrame([("1", "It failed. The host"), ("2", "no"), ("3", None)], "id string, message string")
+    found = highlights(entries, q).select("id", F.posexplode(F.element_at("highlights", "message")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?s).{1,150}?") == 1
+    assert [tuple(r) for r in found.collect()] == [("1", 0, 'It <em class="highlight">failed</em>. '), ("1", 1, 'The <em class="highlight">host</em>')]
+
+
+def test_words_that_match(spark):
+    """The cheaper test lets the same words through as all distances do."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng, word = Random(5), "failed"
+    said = {"".join(rng.choice("failedx") if rng.random() < 0.3 else c for c in rng.choice(swaps(word) + [word] + [b for s in swaps(word) for b in swaps(s)]))[: rng.randint(4, 6)] + rng.choice(["", "x"]) for _ in range(1500)}
+    once = swaps(word)
+    expected = {t for t in said if distance(t, word) <= 2 or any(distance(t, s) <= 1 for s in once) or any(t in swaps(s) for s in once)}
+    got = spark.createDataFrame([(t,) for t in said], "t string").where(word_matches(F.col("t"), word)).collect()
+    assert {r["t"] for r in got} == expected and 100 < len(expected) < len(said)
