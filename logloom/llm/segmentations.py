@@ -97,8 +97,9 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: blanks back to spaces, bytes back to characters, without the first blank."""
-        at_byte = self.at_byte = getattr(self, "at_byte", None) or {int(i): b for b, i in enumerate(self.byte_ids)}
-        data = b"".join(bytes([at_byte[i]]) if i in at_byte else self.texts[i].replace(chr(BLANK), " ").encode() for i in ids)
+        if not hasattr(self, "bytes_of"):  # of each id, made once in a worker
+            self.bytes_of = dict(enumerate(t.replace(chr(BLANK), " ").encode() for t in self.texts)) | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        data = b"".join(map(self.bytes_of.__getitem__, ids))
         return data.decode(errors="replace").removeprefix(" ")
 
 
@@ -430,13 +431,12 @@ def sample_segmentations(df: DataFrame, model: str, samples: int = SAMPLES, temp
     def run(batches):
         pieces = load_pieces(model, temperature)
         for b in batches:
-            texts, keys, first = [t or "" for t in b.column(1).to_pylist()], b.column(2).to_numpy().view(np.uint64), 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
-                    chars += len(texts[last])
-                    last += 1
-                rows = [(first + t, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *more, ids.astype(np.int32) if with_ids else None) for t, n, ids, *more in sample_texts(texts[first:last], keys[first:last], pieces, samples)]
+            keys, first = b.column(2).to_numpy().view(np.uint64), 0
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy()))
+            while first < b.num_rows:  # a slice's texts at a time
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_CHARS, "right")) - 1)
+                texts = [t or "" for t in b.column(1).slice(first, last - first).to_pylist()]
+                rows = [(first + t, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *more, ids.astype(np.int32) if with_ids else None) for t, n, ids, *more in sample_texts(texts, keys[first:last], pieces, samples)]
                 c = list(zip(*rows, strict=True))
                 arrays = [b.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), *(pa.array(c[k], pa.float64()) for k in (4, 5, 6))]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(c[7], pa.list_(pa.int32()))] * with_ids, names=schema.names)

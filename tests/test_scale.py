@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.llm.queries import QUERIES as QUERIES_OF_TEXTS
 from logloom.operators.fulltext import swaps, word_matches
 from logloom.operators.highlight import highlights
 from logloom.operators.multiline import assign_heads, attach_traces
@@ -90,3 +91,12 @@ def test_words_that_match(spark):
     expected = {t for t in said if distance(t, word) <= 2 or any(distance(t, s) <= 1 for s in once) or any(t in swaps(s) for s in once)}
     got = spark.createDataFrame([(t,) for t in said], "t string").where(word_matches(F.col("t"), word)).collect()
     assert {r["t"] for r in got} == expected and 100 < len(expected) < len(said)
+
+
+def test_decoder_meets_written_ids(spark, monkeypatch):
+    """The steps of the decoder's query meet in a table, so no task runs the Python of both."""
+    monkeypatch.setattr("logloom.llm.segmentations.SLICE_CHARS", 50)
+    df = QUERIES_OF_TEXTS["decode_segmentations"](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, texts.collect()))
