@@ -1,6 +1,7 @@
 """What a task has to hold doesn't grow with the input."""
 
 import os
+import re
 from datetime import datetime
 from random import Random
 
@@ -8,14 +9,16 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.metadata import pairs
 from logloom.llm.queries import QUERIES as QUERIES_OF_TEXTS
 from logloom.operators.fulltext import swaps, word_matches
 from logloom.operators.highlight import highlights
 from logloom.operators.multiline import assign_heads, attach_traces
-from logloom.operators.textlog import class_lines, match_lines
+from logloom.operators.textlog import class_lines, line_fields, match_lines
 from logloom.options import LogQuery, ParseOptions
 from logloom.queries import ORACLE_SQL, QUERIES, log_files
 from logloom.sources.lines import FileScan
+from logloom.sources.scratch import kept
 
 from .test_queries import SF, rows
 
@@ -65,6 +68,29 @@ def test_rotated_files_are_one_log(spark, tmp_path):
     assert (scan.line_count, scan.longest_file, scan.byte_count) == (4, 3, 8)
 
 
+def test_fields_are_compiled(spark):
+    """The JVM doesn't compile methods of more than 8000 bytes of code."""
+    lines = spark.createDataFrame([("f", 1, "2024-01-01 00:00:00 [t] INFO a.B - x")], "file_name string, line_number long, line string")
+    # Read from a file, so that no plan of rows in memory is evaluated ahead.
+    classed = kept(class_lines(lines, ParseOptions(ingest_ts=datetime(2024, 1, 1))), "classed")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    code = debug.codegenString(line_fields(classed)._jdf.queryExecution().executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_pairs_are_found_in_one_go(spark):
+    """A line is looked through once, and what is found is what the two patterns of before find."""
+    before = re.compile(r"""([\w.]+)=(["']?)([^"'\s,]+|[^"']+)\2""", re.ASCII)
+    rng = Random(7)
+    said = ["".join(rng.choice(["a", "b.c", "=", "=", '"', "'", " ", ",", "-", "é", "1"]) for _ in range(rng.randint(1, 16))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in said], "t string").select("t", pairs(F.col("t")).alias("p"))
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("regexp_extract_all") == 1
+    got = df.collect()
+    assert [[tuple(x) for x in r["p"]] for r in got] == [[(m[1], m[3]) for m in before.finditer(r["t"])] for r in got]
+    assert sum(len(r["p"]) for r in got) > 500
+
+
 def test_passages_are_found_once(spark):
     """However often the passages are looked at, the plan has them made in one place."""
     q = LogQuery("j", search_text="failed host", search_fields=("message",), highlight=True)
