@@ -196,11 +196,12 @@ def ordered_sets(df: DataFrame, kept: DataFrame, id_col: str, text_col: str, siz
 
 
 def starts(sets: DataFrame, similarity: int, *keep: str) -> DataFrame:
-    """`keep`, before and gram: a row for each n-gram of the beginnings of `sets`, whose other n-grams no other set has;
-    before is the number of n-grams before it."""
+    """`keep`, before, gram and last: a row for each n-gram of the beginnings of `sets`, whose other n-grams no other set has;
+    before is the number of n-grams before it, last that of them which stands directly before it, if another set has it too."""
     beginning = F.greatest(F.size("grams") - needed(F.col("n"), similarity) + 1, F.lit(0)).cast("int")
-    rows = sets.select(*keep, (F.col("n") - F.size("grams")).alias("_alone"), F.posexplode(F.slice("grams", F.lit(1), beginning)).alias("_at", "gram"))
-    return rows.select(*keep, (F.col("_alone") + F.col("_at")).alias("before"), "gram")
+    pairs = F.transform(F.slice("grams", F.lit(1), beginning), lambda g, i: F.struct(g.alias("gram"), F.get("grams", i - 1).alias("last")))
+    rows = sets.select(*keep, (F.col("n") - F.size("grams")).alias("_alone"), F.posexplode(pairs).alias("_at", "_g"))
+    return rows.select(*keep, (F.col("_alone") + F.col("_at")).alias("before"), "_g.gram", "_g.last")
 
 
 # ---------------------------------------------------------------- in a task
@@ -348,10 +349,17 @@ def chunk_visits(sets: DataFrame, outside: DataFrame, similarity: int) -> DataFr
 
     Of the first n-gram that two sets share, `before` tells how much of each can't be shared.  A link needs an overlap
     of t/(1+t) of both sizes, so a chunk's least size and its longest rest are compared for each n-gram.
+
+    Where all sets that have an n-gram have the same one directly before it, it is not the first that any two of them share, and
+    isn't looked at.  So a passage of many sets counts once, and not once for each of its n-grams.
     """
     s, all_of = similarity, 100 + similarity
-    places = starts(sets, s, "chunk", "n").groupBy("gram", "chunk").agg(F.min("n").alias("least"), F.max(100 * F.col("n") - all_of * F.col("before")).alias("reach"))
-    visitors = starts(outside.withColumnRenamed("chunk", "own"), s, "vertex", "n", "own")
+    rows = starts(sets, s, "chunk", "n")
+    places = rows.groupBy("gram", "chunk").agg(F.min("n").alias("least"), F.max(100 * F.col("n") - all_of * F.col("before")).alias("reach"), F.min("last").alias("low"), F.max("last").alias("high"), F.count_if(F.col("last").isNull()).alias("none"))
+    follows = (F.sum("none") == 0) & (F.min("low") == F.max("high"))
+    firsts = places.groupBy("gram").agg(F.coalesce(follows, F.lit(False)).alias("_follows")).where(~F.col("_follows")).select("gram")
+    places = places.join(firsts, "gram").drop("low", "high", "none")
+    visitors = starts(outside.withColumnRenamed("chunk", "own"), s, "vertex", "n", "own").drop("last")
     fits = (all_of * (F.col("n") - F.col("before")) >= s * (F.col("n") + F.col("least"))) & (F.col("reach") >= s * F.col("n"))
     return visitors.join(places, "gram").where(fits & (F.col("chunk") != F.col("own"))).select("vertex", "chunk").distinct()
 
@@ -431,7 +439,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Sets of one size with equal repeated n-grams are one vertex; a task combines them before anything is shuffled.
     same = ["n", F.size("grams").alias("size"), F.xxhash64("grams").alias("h1"), F.hash("grams").alias("h2")]
     vertices = written(sets.groupBy(*same).agg(F.min("doc").alias("vertex"), F.first("grams").alias("grams"), F.first("near").alias("near")), "vertices")
-    first = starts(vertices, similarity, "vertex")
+    first = starts(vertices, similarity, "vertex").drop("last")
     least = first.groupBy("gram").agg(F.min("vertex").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     blocks = connected_components(first.join(least, "gram").select(F.col("vertex").alias("a"), "b"))
     placed = written(vertices.join(blocks, F.col("vertex") == F.col("node")).select(F.col("component").alias("block"), "vertex", "n", "grams", "near"), "blocks")

@@ -222,3 +222,22 @@ def test_half_similar_pages_meet_few_chunks(docs, monkeypatch):
                     component = {k: new if c == old else c for k, c in component.items()}
     assert out == component and len(set(component.values())) < n
     assert sum(visits) < 5 * n
+
+
+def test_passages_are_looked_at_once(spark):
+    """Sets with a passage meet chunks by the first of its n-grams that they share, not by each of them."""
+    passage = [5, 3, 9, 7]  # in the global order
+    rows = [(k // 2, k, 4, passage if k < 6 else [11, 3, 9, 7]) for k in range(8)]
+    sets = spark.createDataFrame(rows, "chunk long, vertex long, n long, grams array<long>")
+    seen, plan = [], ngram_join.starts(sets, 20, "chunk", "vertex")
+    assert sorted((r["vertex"], r["gram"], r["last"]) for r in plan.where("vertex in (0, 7)").collect()) == [(0, 3, 5), (0, 5, None), (0, 7, 9), (0, 9, 3), (7, 3, 11), (7, 7, 9), (7, 9, 3), (7, 11, None)]
+    visits = ngram_join.chunk_visits(sets, sets, 20)
+    assert sorted(map(tuple, visits.collect())) == [(v, c) for v in range(8) for c in range(4) if c != v // 2]
+    distinct = type(sets).distinct
+    try:
+        type(sets).distinct = lambda df: seen.append(df.count()) or distinct(df)
+        ngram_join.chunk_visits(sets, sets, 20)
+    finally:
+        type(sets).distinct = distinct
+    # n-grams 9 and 7 always follow another one; 5, 3 and 11 are looked at
+    assert seen == [6 * 2 + 8 * 3]
